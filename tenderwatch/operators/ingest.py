@@ -60,11 +60,21 @@ def publication_window(
 ) -> DataFrame:
     """Notices published from the first instant of one day to the last second of another.
 
-    A plain range on the stored column, so it reaches the Parquet scan.
+    A plain range on the stored column, so it reaches the Parquet scan; a table written by
+    month is pruned to the months of the range.
     """
-    kept = notices.where(F.col(column) >= F.lit(f"{since or S.FIRST_DAY} 00:00:00").cast("timestamp"))
+    first = str(since or S.FIRST_DAY)
+    bounds = [F.col(column) >= F.lit(f"{first} 00:00:00").cast("timestamp")]
+    by_month = "published_month" in notices.columns
+    if by_month:
+        bounds.append(F.col("published_month") >= first[:7])
     if until:
-        kept = kept.where(F.col(column) <= F.lit(f"{until} 23:59:59").cast("timestamp"))
+        bounds.append(F.col(column) <= F.lit(f"{until} 23:59:59").cast("timestamp"))
+        if by_month:
+            bounds.append(F.col("published_month") <= str(until)[:7])
+    kept = notices
+    for bound in bounds:
+        kept = kept.where(bound)
     return kept
 
 

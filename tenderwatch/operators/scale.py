@@ -174,7 +174,8 @@ def previous_in_key(
         .where(F.col(row_id).isNotNull())
     )
     both = sliced.unionByName(context, allowMissingColumns=True)
-    return _lag(both, [*keys, "_slice"], on, row_id).where("_context IS NULL").drop("_slice", "_context")
+    lagged = _lag(both, [*keys, "_slice"], on, row_id).where("_context IS NULL")
+    return lagged.select(*df.columns, "prev_id", "prev_on")
 
 
 def _lag(df: DataFrame, keys: Sequence[str], on: str, row_id: str) -> DataFrame:

@@ -16,6 +16,16 @@ def export_csv(rows: DataFrame, path: str) -> None:
     ).csv(path)
 
 
+def write_by_month(rows: DataFrame, path: str, column: str) -> None:
+    """Parquet partitioned by month of ``column``, so date ranges prune whole folders.
+
+    The rebalance hint lets adaptive execution join small months and split large ones.
+    """
+    month = F.date_format(column, "yyyy-MM").alias("published_month")
+    balanced = rows.select("*", month).hint("rebalance", "published_month")
+    balanced.write.mode("append").partitionBy("published_month").parquet(path)
+
+
 class SnapshotTable:
     """A table kept as immutable snapshot folders and an append-only list of versions.
 
