@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tenderwatch import schemas as S
 from tenderwatch.functions.normalise import stringify_nested
-from tenderwatch.operators.scale import first_wins
+from tenderwatch.operators.scale import first_per_key
 
 
 def conform_schema(landed: DataFrame, source_id: int) -> DataFrame:
@@ -92,24 +92,31 @@ def source_sample(notices: DataFrame) -> DataFrame:
     )
 
 
-def not_stored(incoming: DataFrame, stored: DataFrame, key: str = S.PROCESS_KEY) -> DataFrame:
-    """Incoming rows whose key is not stored yet; rows without a key always pass.
+def _not_stored(keyed: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not stored yet.
 
     The stored side is first reduced to the keys that arrive. For a small batch Spark
     broadcasts the arriving keys, and the stored table is read once, one column, unshuffled.
-    Rows with a NULL key stay out of the join, where they would all meet in one task.
     """
-    keyed = incoming.where(F.col(key).isNotNull())
     known = stored.select(key).join(keyed.select(key), key, "left_semi")
-    fresh = keyed.join(known, key, "left_anti").select(*incoming.columns)
-    return fresh.unionByName(incoming.where(F.col(key).isNull()))
+    return keyed.join(known, key, "left_anti").select(*keyed.columns)
+
+
+def not_stored(incoming: DataFrame, stored: DataFrame, key: str = S.PROCESS_KEY) -> DataFrame:
+    """Incoming rows whose key is not stored yet; rows without a key always pass.
+
+    Those stay out of the join, where they would all meet in one task.
+    """
+    has_key = F.col(key).isNotNull()
+    return _not_stored(incoming.where(has_key), stored, key).unionByName(incoming.where(~has_key))
 
 
 def insert_ignore(
     incoming: DataFrame, stored: DataFrame, order: Sequence[str], key: str = S.PROCESS_KEY
 ) -> DataFrame:
     """Rows that an insert with "do nothing on conflict" would add."""
-    return not_stored(first_wins(incoming, key, order), stored, key)
+    fresh = _not_stored(first_per_key(incoming, key, order), stored, key)
+    return fresh.unionByName(incoming.where(F.col(key).isNull()))
 
 
 def sync_result(

@@ -108,20 +108,24 @@ def _narrow(rows: DataFrame, brackets: DataFrame, split: bool) -> DataFrame:
     return narrowed.unionByName(brackets.where(~is_open))
 
 
-def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """First row per key; rows without a key are all kept.
+def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """First row of every key that is not NULL.
 
     An aggregate instead of a ranking window: copies collapse on the map side, so a key that
-    holds a third of all rows costs no more than any other. Rows with a NULL key never shuffle.
+    holds a third of all rows costs no more than any other.
     """
     rest = [c for c in df.columns if c != key and c not in order]
-    first = (
+    return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.min(F.struct(*order, *rest)).alias("first"))
         .select(*[F.col(key) if c == key else F.col(f"first.{c}").alias(c) for c in df.columns])
     )
-    return first.unionByName(df.where(F.col(key).isNull()))
+
+
+def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """First row per key; rows without a key are all kept and never shuffle."""
+    return first_per_key(df, key, order).unionByName(df.where(F.col(key).isNull()))
 
 
 def previous_in_key(

@@ -1,9 +1,13 @@
-"""CSV export and snapshot tables."""
+"""CSV export, monthly layout and run-wise tables."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
@@ -26,39 +30,51 @@ def write_by_month(rows: DataFrame, path: str, column: str) -> None:
     balanced.write.mode("append").partitionBy("published_month").parquet(path)
 
 
-class SnapshotTable:
-    """A table kept as immutable snapshot folders and an append-only list of versions.
+class RunStore:
+    """Tables written run by run and read through a list of complete runs.
 
-    A version is listed only after its folder is complete, so readers never see half a
-    write and a lost job leaves the previous version in place.
+    A run is listed only after all its tables are written, so readers never see half a run
+    and a lost job leaves nothing behind but an unlisted folder. A run either adds rows to
+    the current version or starts a new version that replaces all earlier rows; older
+    versions stay readable.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _versions(self) -> DataFrame:
-        return self.spark.read.schema("version bigint, path string").json(f"{self.root}/versions")
-
-    def current_version(self) -> int:
-        """Latest complete version, 0 before the first write."""
+    def _listed(self) -> list[tuple[int, str]]:
+        """(version, run) of every complete run: one small row per run."""
         try:
-            return self._versions().agg(F.max("version")).first()[0] or 0
-        except Exception as error:  # no folder yet
-            if "PATH_NOT_FOUND" in str(error):
-                return 0
+            listed = self.spark.read.schema("version bigint, run string").json(f"{self.root}/complete")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return []
             raise
+        return [(r["version"], r["run"]) for r in listed.collect()]
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/snapshot={version}"
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.path(version or self.current_version()))
-
-    def replace(self, rows: DataFrame) -> int:
-        """Write ``rows`` as the next version and make it current."""
-        version = self.current_version() + 1
-        rows.write.mode("overwrite").parquet(self.path(version))
-        line = f"SELECT CAST({version} AS BIGINT) AS version, '{self.path(version)}' AS path"
-        self.spark.sql(line).write.mode("append").json(f"{self.root}/versions")
+    def current_version(self) -> int:
+        """0 before the first run."""
+        return max((v for v, _ in self._listed()), default=0)
+
+    def read(self, table: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+        """A table as of its current or a given version."""
+        listed = self._listed()
+        wanted = version or max((v for v, _ in listed), default=0)
+        paths = [self._path(table, v, run) for v, run in listed if v == wanted]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _path(self, table: str, version: int, run: str) -> str:
+        return f"{self.root}/{table}/version={version}/run={run}"
+
+    def write(self, tables: Mapping[str, DataFrame], run: str, replace: bool) -> int:
+        """Write one run of all tables, then list it; returns its version."""
+        current = self.current_version()
+        version = current + 1 if replace or current == 0 else current
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(self._path(name, version, run))
+        entry = self.spark.sql(f"SELECT CAST({version} AS BIGINT) AS version, '{run}' AS run")
+        entry.write.mode("append").json(f"{self.root}/complete")
         return version

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tenderwatch import schemas as S
 from tenderwatch.operators import ingest, syncs
 from tenderwatch.sources.readers import scan_notices
-from tenderwatch.sources.sinks import SnapshotTable, export_csv, write_by_month
+from tenderwatch.sources.sinks import RunStore, export_csv, write_by_month
 from tenderwatch.streaming.ingest import add_batch, stored_notices, stream_ingest
 
 
@@ -113,14 +113,19 @@ def test_due_sources(spark):
 
 def test_export_format(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q"; b', None)], "id int, name string, note string")
-    export_csv(df, str(tmp_path / "out"))
+    export_csv(df.coalesce(1), str(tmp_path / "out"))
     text = next((tmp_path / "out").glob("*.csv")).read_text()
     assert text.splitlines() == ['"id";"name";"note"', '"1";"a ""q""; b";""']
 
 
-def test_snapshots(spark, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "t"))
-    assert table.current_version() == 0
-    assert table.replace(spark.range(3)) == 1
-    assert table.replace(table.read().where("id > 0")) == 2
-    assert table.read().count() == 2 and table.read(1).count() == 3
+def test_run_store(spark, tmp_path):
+    store, schema = RunStore(spark, str(tmp_path / "t")), spark.range(0).schema
+    assert store.current_version() == 0 and store.read("a", schema).count() == 0
+    assert store.write({"a": spark.range(3), "b": spark.range(1)}, "r1", replace=False) == 1
+    assert store.write({"a": spark.range(3, 5), "b": spark.range(0)}, "r2", replace=False) == 1
+    assert store.read("a", schema).count() == 5 and store.read("b", schema).count() == 1
+    assert store.write({"a": store.read("a", schema).where("id > 0"), "b": spark.range(0)}, "r3", replace=True) == 2
+    assert store.read("a", schema).count() == 4 and store.read("a", schema, 1).count() == 5
+    # a run that was never listed is invisible
+    spark.range(9).write.parquet(str(tmp_path / "t" / "a" / "version=2" / "run=lost"))
+    assert store.read("a", schema).count() == 4
