@@ -217,8 +217,8 @@ def watermark_update(p: Pipeline) -> DataFrame:
 
 
 def _stored_contracts(p: Pipeline) -> DataFrame:
-    """An older contract table that lacks every tenth notice."""
-    return p.earlier_contracts.where(F.col("id") % 10 != 3)
+    """An older contract table: what had been published by then, in its older state."""
+    return p.earlier_contracts.where(F.col("published_on") < F.lit(testdata.STORED_UNTIL).cast("date"))
 
 
 def _actions(p: Pipeline, force: bool = True) -> DataFrame:
@@ -243,7 +243,7 @@ def normalise_counts_unforced(p: Pipeline) -> DataFrame:
 @query
 def record_issues_write(p: Pipeline) -> DataFrame:
     old = normalise.record_issues(testdata.earlier_notices(p.raw), testdata.AS_OF)
-    stored = old.where(F.col("raw_id") % 10 != 3).withColumn("created_at", F.lit("2000-12-31 00:00:00").cast("timestamp"))
+    stored = old.join(_stored_contracts(p).select("raw_id"), "raw_id", "left_semi").withColumn("created_at", F.lit("2000-12-31 00:00:00").cast("timestamp"))
     return normalise.merge_issues(_actions(p), p.issues, stored)
 
 
@@ -304,7 +304,7 @@ def export_contract_rows(p: Pipeline) -> DataFrame:
 
 @query
 def export_sync_rows(p: Pipeline) -> DataFrame:
-    named = p.sources.where(F.col("id") % 3 != 0)
+    named = syncs.active_sources(p.sources)
     return exports.export_sync_rows(syncs.with_source_name(p.history, named))
 
 
@@ -662,7 +662,7 @@ def combine_signals_join(p: Pipeline) -> DataFrame:
 
 @query
 def source_name_join(p: Pipeline) -> DataFrame:
-    named = p.sources.where(F.col("id") % 3 != 0)
+    named = syncs.active_sources(p.sources)
     return syncs.with_source_name(p.history, named).select("id", "source_id", "source_name", "state", "fetched")
 
 

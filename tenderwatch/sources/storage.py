@@ -14,16 +14,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: local fallback folder per application
+_LOCAL: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Shared folder of the cluster; a local folder only for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="tenderwatch-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tenderwatch-")
+    return _LOCAL[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
