@@ -136,7 +136,8 @@ def previous_in_key(
     A plain LAG sorts each key in one task. Keys with more than ``task_rows`` rows (at most
     rows / task_rows of them) are cut into ordered slices, one per date, and dates with more
     than ``task_rows`` rows into several slices by id. The last row of a slice is handed to
-    the next one as context, so the result equals the plain LAG.
+    the next one as context, so the result equals the plain LAG. No window group exceeds
+    ``task_rows`` by much; the slices of one key number at most its dates plus rows / task_rows.
     """
     keyed = df.withColumn("_key", F.xxhash64(*keys))
     heavy = settle(

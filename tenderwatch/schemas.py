@@ -156,13 +156,11 @@ DEFAULT_WEIGHTS = {"OUTLIER": 1.0, "SHORT_REPEAT": 1.5, "DIRECT_AWARD": 2.0}
 
 # Ingest settings.
 FIRST_DAY = "2020-01-01"
-BATCH_ROWS = 5000
 TEST_MODE_ROWS = 10000
 SAMPLE_ROWS = 5
 
-SYNC_RUNNING, SYNC_OK, SYNC_ERROR = "EN_PROCESO", "EXITOSO", "ERROR"
-SYNC_STATES = [SYNC_RUNNING, SYNC_OK, SYNC_ERROR]
-SOURCE_FORMATS = ["JSON", "CSV", "XML"]
+SYNC_STATES = ["EN_PROCESO", "EXITOSO", "ERROR"]
+SYNC_OK, SYNC_ERROR = "EXITOSO", "ERROR"
 
 CONTRACT_SCHEMA = T.StructType(
     [

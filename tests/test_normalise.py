@@ -73,8 +73,8 @@ def test_hash_ignores_ids_and_nulls(spark):
     def hash_of(**fields):
         return spark.range(1).select(N.row_hash({k: F.lit(v) for k, v in fields.items()})).first()[0]
 
-    base = hash_of(buyer="ALCALDIA", value="1000", id=1, created_at="2023-01-01")
-    assert base == hash_of(value="1000", buyer="ALCALDIA", id=2, updated_at="2023-01-01")
-    assert base == hash_of(value="1000", buyer="ALCALDIA", city=None)
-    assert base != hash_of(value="1000", buyer="GOBERNACION")
-    assert base != hash_of(buyer="1000", value="ALCALDIA")
+    base = hash_of(supplier="NORTE SAS", total="250.75", id=7, created_at="2024-05-01")
+    assert base == hash_of(total="250.75", supplier="NORTE SAS", id=8, updated_at="2024-06-01")
+    assert base == hash_of(total="250.75", supplier="NORTE SAS", city=None)
+    assert base != hash_of(total="250.75", supplier="SUR SAS")
+    assert base != hash_of(supplier="250.75", total="NORTE SAS")
