@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderwatch.llm import exact_dedup, simhash
+from tenderwatch.llm import exact_dedup, packing, simhash, token_files
 from tenderwatch.llm.common import table
+from tenderwatch.sources.storage import scratch_path
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)[0]
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE)
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -21,7 +36,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_exact_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_token_files, op7_exact_dedup, op8_simhash)}
 
 
 _OP7 = r"""
