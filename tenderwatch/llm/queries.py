@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderwatch.llm import exact_dedup, packing, simhash, token_files
+from tenderwatch.llm import byte_bpe, exact_dedup, packing, simhash, token_files, toxicity
 from tenderwatch.llm.common import table
 from tenderwatch.sources.storage import scratch_path
 
@@ -27,6 +27,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -35,8 +39,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_token_files, op7_exact_dedup, op8_simhash)}
+    found = (
+        op1_best_fit_packing,
+        op3_token_files,
+        op4_byte_bpe,
+        op7_exact_dedup,
+        op8_simhash,
+        op9_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 _OP7 = r"""
