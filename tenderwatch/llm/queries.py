@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderwatch.llm import byte_bpe, exact_dedup, packing, simhash, token_files, toxicity
+from tenderwatch.llm import byte_bpe, cover_tree, exact_dedup, packing, simhash, token_files, toxicity
 from tenderwatch.llm.common import table
 from tenderwatch.sources.storage import scratch_path
 
@@ -43,6 +43,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing,
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         op7_exact_dedup,
         op8_simhash,
         op9_toxicity,
+        op10_cover_tree,
     )
     return {f.__name__: f for f in found}
 

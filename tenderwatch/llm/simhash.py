@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderwatch.llm.common import Batches, components, in_python, shuffle_partitions
+from tenderwatch.llm.common import Batches, components, forest, in_python, shuffle_partitions
 from tenderwatch.sources.storage import settle
 
 SEED = 42
@@ -82,25 +82,6 @@ def tiles(prints: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links ``a[i], b[i]`` as one link to the smallest value of each component."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        for end in (x, y, root[x], root[y]):
-            np.minimum.at(new, end, low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
-    tied = root != np.arange(len(nodes))
-    return nodes[tied], nodes[root[tied]]
-
-
 def _compare(batches: Batches, radius: int) -> Batches:
     for batch in batches:
         for mine, other, same in zip(*(batch.column(i) for i in range(3))):
@@ -114,7 +95,7 @@ def _compare(batches: Batches, radius: int) -> Batches:
                 one, two = strip[i], against[j]
                 real = one != two
                 if real.any():
-                    kept = _forest(np.concatenate((kept[0], one[real])), np.concatenate((kept[1], two[real])))
+                    kept = forest(np.concatenate((kept[0], one[real])), np.concatenate((kept[1], two[real])))
             if len(kept[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["a", "b"])
 
