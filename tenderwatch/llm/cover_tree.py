@@ -141,6 +141,7 @@ class Walk:
         self.counts = (np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64))
         self.one: list[np.ndarray] = []
         self.two: list[np.ndarray] = []
+        self.held = 0
         self.whole: set[tuple[int, int]] = set()
         self.small = (a.unit.astype(np.float32), b.unit.astype(np.float32))
 
@@ -175,13 +176,22 @@ class Walk:
         # The square root blows up the rounding of a product near 1, hence the wider room inside.
         kept = distance <= spread + self.reach + 2 * SLACK
         inside = distance + spread + 2 * SLACK <= self.reach
-        for p, q, whole in zip(ka[i[kept]].tolist(), kb[j[kept]].tolist(), inside[kept].tolist()):
-            if self.same and p == q:
-                whole = 2 * a.radius[p] + 2 * SLACK <= self.reach
-            if whole:
-                self._count_whole(p, q)
-            else:
-                yield p, q
+        p, q, inside = ka[i[kept]], kb[j[kept]], inside[kept]
+        if self.same:
+            inside[p == q] = 2 * a.radius[p[p == q]] + 2 * SLACK <= self.reach
+        leaves = (a.children[p] == 0) & (b.children[q] == 0) & ~inside
+        if self.same:
+            leaves &= p != q
+        for x, y in zip(p[inside].tolist(), q[inside].tolist()):
+            self._count_whole(x, y)
+        yield from zip(p[~inside & ~leaves].tolist(), q[~inside & ~leaves].tolist())
+        # The leaves that meet one node are compared with it together.
+        p, q = p[leaves], q[leaves]
+        for x in np.unique(p).tolist():
+            met = q[p == x]
+            sizes = b.end[met] - b.start[met]
+            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self._compare(np.arange(a.start[x], a.end[x]), np.repeat(b.start[met], sizes) + inner)
 
     def _count_whole(self, p: int, q: int) -> None:
         a, b = self.a, self.b
@@ -198,27 +208,35 @@ class Walk:
         self._link(a.ids[a.center[[p]]], b.ids[b.center[[q]]])
 
     def _link(self, one: np.ndarray, two: np.ndarray) -> None:
+        if not len(one):
+            return
         self.one.append(one)
         self.two.append(two)
-        if sum(map(len, self.one)) > 1 << 20:
+        self.held += len(one)
+        if self.held > 1 << 20:
             x, y = forest(np.concatenate(self.one), np.concatenate(self.two))
-            self.one, self.two = [x], [y]
+            self.one, self.two, self.held = [x], [y], len(x)
 
     def _leaves(self, p: int, q: int) -> None:
+        rows, columns = np.arange(self.a.start[p], self.a.end[p]), np.arange(self.b.start[q], self.b.end[q])
+        self._compare(rows, columns, self.same and p == q)
+
+    def _compare(self, rows: np.ndarray, columns: np.ndarray, own: bool = False) -> None:
+        """Cosines of two sets of vectors in double precision."""
         a, b = self.a, self.b
-        x, y = a.unit[a.start[p] : a.end[p]], b.unit[b.start[q] : b.end[q]]
-        near = x @ y.T
+        near = a.unit[rows] @ b.unit[columns].T
         linked = near >= self.cosine
         for i, j in zip(*np.nonzero(np.abs(near - self.cosine) < 1e-12)):
-            u, v = a.raw[a.start[p] + i].astype(np.float64), b.raw[b.start[q] + j].astype(np.float64)
+            u, v = a.raw[rows[i]].astype(np.float64), b.raw[columns[j]].astype(np.float64)
             linked[i, j] = np.dot(u, v) / (np.sqrt(np.dot(u, u)) * np.sqrt(np.dot(v, v))) >= self.cosine
-        if self.same and p == q:
+        if own:
             linked = np.triu(linked, 1)
         i, j = np.nonzero(linked)
-        i, j = i + a.start[p], j + b.start[q]
-        np.add.at(self.counts[0], i, b.weights[j])
-        np.add.at(self.counts[1] if not self.same else self.counts[0], j, a.weights[i])
-        self._link(a.ids[i], b.ids[j])
+        if len(i):
+            i, j = rows[i], columns[j]
+            np.add.at(self.counts[0], i, b.weights[j])
+            np.add.at(self.counts[0] if self.same else self.counts[1], j, a.weights[i])
+            self._link(a.ids[i], b.ids[j])
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Linked vectors with their counts, and a forest of links."""
