@@ -73,9 +73,10 @@ def tiles(prints: DataFrame, tile: int = TILE) -> DataFrame:
     """``hi, lo, part, fps``: distinct fingerprints by the population counts of their halves."""
     high, low = _halves(F.col("fp"))
     cells = prints.select("fp", high.alias("hi"), low.alias("lo"))
+    # 33 x 33 cells at most, so their sizes can always be broadcast
     sizes = cells.groupBy("hi", "lo").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
     return (
-        cells.join(sizes, ["hi", "lo"])
+        cells.join(F.broadcast(sizes), ["hi", "lo"])
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
         .groupBy("hi", "lo", "part")
         .agg(F.collect_list("fp").alias("fps"))
