@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderwatch.llm import byte_bpe, cover_tree, exact_dedup, packing, simhash, token_files, toxicity
+from tenderwatch.llm import byte_bpe, cover_tree, exact_dedup, hash_tree, packing, secret_ledger, simhash, token_files, toxicity
 from tenderwatch.llm.common import table
 from tenderwatch.sources.storage import scratch_path
 
@@ -31,6 +31,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.find_secrets(table(spark, sf_dir, "documents"), scratch_path(spark, "ledger"))
+
+
+def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.place(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,8 @@ def queries() -> dict[str, Query]:
         op1_best_fit_packing,
         op3_token_files,
         op4_byte_bpe,
+        op5_secret_ledger,
+        op6_hash_tree,
         op7_exact_dedup,
         op8_simhash,
         op9_toxicity,
@@ -72,5 +82,35 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+_OP5 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (
+  SELECT doc_id, 0 AS k, 'assign' AS kind, 12 AS least_n,
+    regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS hit,
+    regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS part,
+    regexp_split_to_array(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS gap
+  FROM d
+  UNION ALL
+  SELECT doc_id, 1, 'access', 18, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0),
+    regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL
+  SELECT doc_id, 2, 'hex', 16, regexp_extract_all(t, '[0-9a-f]+', 0), regexp_extract_all(t, '[0-9a-f]+', 0),
+    regexp_split_to_array(t, '[0-9a-f]+') FROM d
+), u AS (
+  SELECT doc_id, k, kind, least_n, unnest(range(1, len(hit) + 1)) AS i, unnest(hit) AS h, unnest(part) AS g,
+    unnest(gap[1:len(hit)]) AS before FROM m
+), s AS (
+  SELECT doc_id, k, kind, least_n, length(g) AS n, length(h) AS w,
+    sum(length(before) + length(h)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM u
+), kept AS (SELECT doc_id, k, kind, e - w AS b, e FROM s WHERE n >= least_n),
+f AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || b::BIGINT || ':' || e::BIGINT, ',' ORDER BY b, k) AS spans FROM kept GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7}
+    return {"op5_secret_ledger": _OP5, "op7_exact_dedup": _OP7}
