@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderwatch.llm import byte_bpe, cover_tree, exact_dedup, hash_tree, packing, secret_ledger, simhash, token_files, toxicity
+from tenderwatch.llm import (
+    byte_bpe,
+    cover_tree,
+    exact_dedup,
+    hash_tree,
+    html_crf,
+    packing,
+    secret_ledger,
+    simhash,
+    token_files,
+    toxicity,
+)
 from tenderwatch.llm.common import table
 from tenderwatch.sources.storage import scratch_path
 
@@ -21,6 +32,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)[0]
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE)
@@ -58,6 +73,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing,
+        op2_html_crf,
         op3_token_files,
         op4_byte_bpe,
         op5_secret_ledger,
