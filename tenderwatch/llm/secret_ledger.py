@@ -170,10 +170,12 @@ def find_secrets(docs: DataFrame, ledger: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, ledger: str, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, ledger: str, mark: str = "[secret]", length: str | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; all other columns as they were.
 
-    Texts without a finding pass unchanged. Findings overlap where rules do, so what is cut out is
+    ``length`` may name a column that holds the text's length and is to follow it.
+
+    Texts without a finding pass unchanged, as do all their columns. Findings overlap where rules do, so what is cut out is
     their union.
     """
     found = findings(scan(docs, ledger), ledger)
@@ -198,4 +200,9 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[secret]") -> DataFrame:
     clean = F.when(F.col("_tw_spans").isNull(), F.col("text")).otherwise(rest)
     marked = docs.withColumn("_tw_blob", blob_of(F.col("text")))
     joined = marked.join(hits.withColumnRenamed("blob", "_tw_blob"), "_tw_blob", "left")
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    if length:
+        dtype = docs.schema[length].dataType
+        new = F.when(F.col("_tw_spans").isNull(), F.col(f"`{length}`")).otherwise(F.length(clean).cast(dtype))
+    return joined.select(
+        *[clean.alias(c) if c == "text" else new.alias(c) if c == length else F.col(f"`{c}`") for c in docs.columns]
+    )
