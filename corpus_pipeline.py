@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; no document goes."""
-    return secret_ledger.redact(docs, scratch_path(spark, "pipeline-ledger"))
+    return secret_ledger.redact(docs, scratch_path(spark, "pipeline-ledger"), length="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
