@@ -200,9 +200,10 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[secret]", length: str | N
     clean = F.when(F.col("_tw_spans").isNull(), F.col("text")).otherwise(rest)
     marked = docs.withColumn("_tw_blob", blob_of(F.col("text")))
     joined = marked.join(hits.withColumnRenamed("blob", "_tw_blob"), "_tw_blob", "left")
+    # Two steps: beside a new column of the same name, a lambda would see the new one.
+    cleaned = joined.withColumn("_tw_clean", clean)
+    new = {"text": F.col("_tw_clean")}
     if length:
-        dtype = docs.schema[length].dataType
-        new = F.when(F.col("_tw_spans").isNull(), F.col(f"`{length}`")).otherwise(F.length(clean).cast(dtype))
-    return joined.select(
-        *[clean.alias(c) if c == "text" else new.alias(c) if c == length else F.col(f"`{c}`") for c in docs.columns]
-    )
+        follows = F.length("_tw_clean").cast(docs.schema[length].dataType)
+        new[length] = F.when(F.col("_tw_spans").isNull(), F.col(f"`{length}`")).otherwise(follows)
+    return cleaned.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
