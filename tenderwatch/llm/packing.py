@@ -28,9 +28,9 @@ CAPACITY = 4096
 #: pieces in an enumerated filling beside the largest, fillings tried per branch, branches in all
 FILLING_PIECES = 4
 BRANCHING = 2
-NODES = 20_000
+NODES = 4_000
 #: steps of one enumeration of fillings
-STEPS = 64
+STEPS = 24
 _DOCS = 256
 
 
@@ -121,8 +121,11 @@ def fillings(counts: np.ndarray, largest: int, capacity: int, limit: int = BRANC
         nonlocal steps
         steps += 1
         usable = lengths[: np.searchsorted(lengths, min(left, top), side="right")]
-        taken = {x: filling.count(x) for x in filling}
-        usable = usable[[counts[x] > taken.get(int(x), 0) for x in usable]] if taken else usable
+        free = counts[usable].copy()
+        for x in filling:
+            if x <= min(left, top):
+                free[np.searchsorted(usable, x)] -= 1
+        usable, free = usable[free > 0], free[free > 0]
         if not len(usable):
             keep(filling)
             return False
@@ -130,12 +133,9 @@ def fillings(counts: np.ndarray, largest: int, capacity: int, limit: int = BRANC
         if one == left:
             keep([*filling, one])
             return True
-        rest = left - usable
-        fit = np.searchsorted(usable, np.minimum(rest, usable), side="right") - 1
-        low = usable[np.maximum(fit, 0)]
-        single = (low == usable) & (counts[usable] - np.array([taken.get(int(x), 0) for x in usable]) < 2)
-        fit = np.where(single, fit - 1, fit)
-        both = usable + np.where(fit >= 0, usable[np.maximum(fit, 0)], 0)
+        fit = np.searchsorted(usable, np.minimum(left - usable, usable), side="right") - 1
+        fit -= (fit >= 0) & (usable[fit] == usable) & (free < 2)
+        both = usable + np.where(fit >= 0, usable[fit], 0)
         best = int(len(both) - 1 - np.argmax(both[::-1]))
         pair = [int(usable[best])] + ([int(usable[fit[best]])] if fit[best] >= 0 else [])
         if both[best] == left:
