@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from tenderwatch import schemas as S
 from tenderwatch.functions.normalise import stringify_nested
 from tenderwatch.operators.scale import first_per_key
+from tenderwatch.sources.readers import ARRIVAL
 
 
 def conform_schema(landed: DataFrame, source_id: int) -> DataFrame:
-    """Keep the known columns, add absent ones as NULL, stamp the source; nested values to text."""
+    """Keep the known columns and the arrival, add absent ones as NULL, stamp the source; nested to text."""
     present = {f.name: f.dataType for f in landed.schema.fields}
     columns = [
         stringify_nested(F.col(n), present[n]).alias(n)
@@ -23,7 +24,8 @@ def conform_schema(landed: DataFrame, source_id: int) -> DataFrame:
         else F.lit(None).cast("string").alias(n)
         for n, _ in S.NOTICE_FIELDS
     ]
-    return landed.select(F.lit(source_id).cast("int").alias("fuente_id"), *columns)
+    arrival = [ARRIVAL] if ARRIVAL in landed.columns else []
+    return landed.select(F.lit(source_id).cast("int").alias("fuente_id"), *columns, *arrival)
 
 
 def _coerced(c: Column, dtype: T.DataType) -> Column:
@@ -61,13 +63,15 @@ def publication_window(
     """Notices published from the first instant of one day to the last second of another.
 
     A plain range on the stored column, so it reaches the Parquet scan; a table written by
-    month is pruned to the months of the range.
+    month is pruned to the months of the range. Without a bound nothing is left out; with
+    one, undated notices are.
     """
-    first = str(since or S.FIRST_DAY)
-    bounds = [F.col(column) >= F.lit(f"{first} 00:00:00").cast("timestamp")]
+    bounds = []
     by_month = "published_month" in notices.columns
-    if by_month:
-        bounds.append(F.col("published_month") >= first[:7])
+    if since:
+        bounds.append(F.col(column) >= F.lit(f"{since} 00:00:00").cast("timestamp"))
+        if by_month:
+            bounds.append(F.col("published_month") >= str(since)[:7])
     if until:
         bounds.append(F.col(column) <= F.lit(f"{until} 23:59:59").cast("timestamp"))
         if by_month:
@@ -78,17 +82,13 @@ def publication_window(
     return kept
 
 
-def capped_scan(notices: DataFrame, order: Sequence[str], rows: int = S.TEST_MODE_ROWS) -> DataFrame:
-    """Test mode of a source: at most ``rows`` notices, in a fixed order."""
-    return notices.orderBy(*order).limit(rows)
-
-
 def source_sample(notices: DataFrame) -> DataFrame:
-    """Connection test: success flag and the size of a small sample."""
+    """Connection test: a source is in order if a small sample of it holds any notice."""
+    n = F.count("*")
     return notices.limit(S.SAMPLE_ROWS).agg(
-        F.lit(True).alias("ok"),
-        F.lit("connection ok").alias("message"),
-        F.count("*").alias("n_sample"),
+        (n > 0).alias("ok"),
+        F.when(n > 0, "connection ok").otherwise("the source is empty").alias("message"),
+        n.alias("n_sample"),
     )
 
 
@@ -131,6 +131,6 @@ def sync_result(
         incoming.agg(F.count("*").alias("fetched"))
         .withColumn("inserted", added)
         .withColumn("duplicates", F.col("fetched") - F.col("inserted"))
-        .withColumn("since", F.lit(str(since or S.FIRST_DAY)))
+        .withColumn("since", F.lit(str(since) if since else None).cast("string"))
         .withColumn("until", F.lit(str(until) if until else None).cast("string"))
     )

@@ -16,7 +16,10 @@ def as_day(as_of: date | str) -> Column:
 
 
 def contract_fields() -> dict[str, Column]:
-    """The 16 normalised columns of a contract, from one raw notice."""
+    """The 16 normalised columns of a contract, from one raw notice.
+
+    Fixed values: which notice field each column comes from.
+    """
 
     def text(name: str) -> Column:
         return N.normalise_text(F.col(name))

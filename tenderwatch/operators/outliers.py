@@ -38,7 +38,7 @@ def base_filters(
 
 
 def valid_contracts(contracts: DataFrame, field: str = "total_value", **filters) -> DataFrame:
-    """Complete contracts with a positive value: ``contract_id, grp, value``."""
+    """Complete contracts with a positive value: ``contract_id, grp, value`` and the supplier."""
     if field not in S.NUMERIC_FIELDS:
         raise ValueError(f"not a numeric field: {field}")
     value = F.col(field)
@@ -49,6 +49,8 @@ def valid_contracts(contracts: DataFrame, field: str = "total_value", **filters)
             F.col("id").alias("contract_id"),
             C.group_key(F.col("method"), F.col("contract_type")).alias("grp"),
             value.cast("double").alias("value"),
+            "supplier",
+            "supplier_tax_id",
         )
     )
 
@@ -82,6 +84,8 @@ def classify(valid: DataFrame, stats: DataFrame, field: str) -> DataFrame:
         direction.isNotNull().alias("is_outlier"),
         direction.alias("direction"),
         score.alias("score"),
+        "supplier",
+        "supplier_tax_id",
     )
 
 

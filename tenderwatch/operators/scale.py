@@ -111,16 +111,20 @@ def _narrow(rows: DataFrame, brackets: DataFrame, split: bool) -> DataFrame:
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """First row of every key that is not NULL.
 
-    An aggregate instead of a ranking window: copies collapse on the map side, so a key that
-    holds a third of all rows costs no more than any other.
+    A narrow count finds the keys that occur more than once; all other rows pass as they are. Only
+    copies are aggregated whole, and they collapse on the map side, so a key that holds a third of
+    all rows costs no more than any other. ``df`` is read three times: store it first.
     """
     rest = [c for c in df.columns if c != key and c not in order]
-    return (
-        df.where(F.col(key).isNotNull())
+    known = df.where(F.col(key).isNotNull())
+    repeated = known.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    first = (
+        known.join(repeated, key, "left_semi")
         .groupBy(key)
         .agg(F.min(F.struct(*order, *rest)).alias("first"))
         .select(*[F.col(key) if c == key else F.col(f"first.{c}").alias(c) for c in df.columns])
     )
+    return known.join(repeated, key, "left_anti").select(*df.columns).unionByName(first)
 
 
 def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -133,54 +137,42 @@ def previous_in_key(
 ) -> DataFrame:
     """Add ``prev_id`` and ``prev_on``: the row before, by (``on``, ``row_id``), within ``keys``.
 
-    A plain LAG sorts each key in one task. Keys with more than ``task_rows`` rows (at most
-    rows / task_rows of them) are cut into ordered slices, one per date, and dates with more
-    than ``task_rows`` rows into several slices by id. The last row of a slice is handed to
-    the next one as context, so the result equals the plain LAG. No window group exceeds
-    ``task_rows`` by much; the slices of one key number at most its dates plus rows / task_rows.
+    A plain LAG sorts each key in one task. Rows of keys with more than ``task_rows`` rows are
+    dealt by range of (keys, ``on``, ``row_id``) and cut by rank into slices of at most
+    ``task_rows`` rows, whatever the ids look like. The last row of a slice is handed to the next
+    one as context, so the result equals the plain LAG.
     """
     keyed = df.withColumn("_key", F.xxhash64(*keys))
     heavy = settle(
-        keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > task_rows).select("_key"),
-        "heavy-keys",
+        keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > task_rows), "heavy-keys"
     )
-    if heavy.isEmpty():
+    total = heavy.agg(F.sum("_n")).first()[0]
+    if total is None:
         return _lag(df, keys, on, row_id)
 
-    dates = settle(
+    light = keyed.join(heavy, "_key", "left_anti").drop("_key")
+    order = [*keys, on, row_id]
+    ranged = settle(
         keyed.join(heavy, "_key", "left_semi")
-        .groupBy("_key", on)
-        .agg(F.count("*").alias("_n"), F.min(row_id).alias("_lo"), F.max(row_id).alias("_hi"))
-        .where(F.col("_n") > task_rows),
-        "heavy-dates",
+        .drop("_key")
+        .repartitionByRange(-(-total // task_rows), *order)
+        .withColumn("_range", F.spark_partition_id()),
+        "heavy-rows",
     )
-    parts = F.ceil(F.col("_n") / task_rows)
-    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    part = F.floor((F.col(row_id) - F.col("_lo")) / span * parts)
-    sliced = (
-        keyed.join(heavy.withColumn("_heavy", F.lit(True)), "_key", "left")
-        .join(dates, ["_key", on], "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("_heavy"), F.struct(F.col(on).alias("on"), F.coalesce(part, F.lit(0)).alias("part"))),
-        )
-        .drop("_key", "_heavy", "_n", "_lo", "_hi")
-    )
-    tails = sliced.where("_slice IS NOT NULL").groupBy(*keys, "_slice").agg(F.max(row_id).alias("_tail"))
+    place = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(on, row_id)) - 1
+    sliced = ranged.withColumn(
+        "_slice", F.struct(F.col("_range").alias("range"), F.floor(place / task_rows).alias("part"))
+    ).drop("_range")
+    tails = sliced.groupBy(*keys, "_slice").agg(F.max(F.struct(on, row_id)).alias("_tail"))
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
     context = (
-        tails.select(
-            *keys,
-            "_slice",
-            F.lag("_tail").over(by_slice).alias(row_id),
-            F.lag("_slice.on").over(by_slice).alias(on),
-            F.lit(True).alias("_context"),
-        )
-        .where(F.col(row_id).isNotNull())
+        tails.withColumn("_tail", F.lag("_tail").over(by_slice))
+        .where("_tail IS NOT NULL")
+        .select(*keys, "_slice", F.col(f"_tail.{on}"), F.col(f"_tail.{row_id}"), F.lit(True).alias("_context"))
     )
     both = sliced.unionByName(context, allowMissingColumns=True)
-    lagged = _lag(both, [*keys, "_slice"], on, row_id).where("_context IS NULL")
-    return lagged.select(*df.columns, "prev_id", "prev_on")
+    lagged = _lag(both, [*keys, "_slice"], on, row_id).where("_context IS NULL").drop("_slice", "_context")
+    return _lag(light, keys, on, row_id).unionByName(lagged).select(*df.columns, "prev_id", "prev_on")
 
 
 def _lag(df: DataFrame, keys: Sequence[str], on: str, row_id: str) -> DataFrame:

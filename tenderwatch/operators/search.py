@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderwatch import schemas as S
-from tenderwatch.operators.runs import rows_of_run
+from tenderwatch.operators.runs import Results, rows_of_run
 
 
 def order_columns(column: str, descending: bool, tie: str = "id") -> list[Column]:
@@ -23,7 +23,7 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int =
     """One page plus the total row and page counts.
 
     The page is a bounded top-k, the total a separate aggregate of the same filters; neither
-    sorts the whole table.
+    sorts the whole table. The top-k holds all rows up to the page: use ``page_after`` to go deep.
     """
     total = df.agg(F.count("*").alias("total")).scalar()
     return (
@@ -35,6 +35,24 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int =
     )
 
 
+def page_after(
+    df: DataFrame, column: str, descending: bool, last: tuple[object, object], size: int = 50, tie: str = "id"
+) -> DataFrame:
+    """The page after the row whose sort value and id are ``last``; costs the same at any depth.
+
+    The order is that of ``order_columns``, with NULLs where it puts them.
+    """
+    value, row = F.lit(last[0]), F.lit(last[1])
+    key, later = F.col(column), F.col(tie) > row
+    if last[0] is None:  # among NULLs: the rest of them, then all values if NULLs come first
+        rest = key.isNull() & later
+        beyond = rest | key.isNotNull() if descending else rest
+    else:
+        beyond = ((key < value) if descending else (key > value)) | ((key == value) & later)
+        beyond = beyond if descending else beyond | key.isNull()
+    return df.where(beyond).orderBy(*order_columns(column, descending, tie)).limit(size)
+
+
 @dataclass(frozen=True)
 class ContractFilter:
     """Optional, AND-ed conditions; text conditions are case-insensitive patterns."""
@@ -100,13 +118,13 @@ def search_contracts(
 
 def search_issues(
     issues: DataFrame,
-    raw_id: int | None = None,
-    contract_id: int | None = None,
+    raw_id: int | Column | None = None,
+    contract_id: int | Column | None = None,
     kind: str | None = None,
     field: str | None = None,
 ) -> DataFrame:
     wanted = {"raw_id": raw_id, "contract_id": contract_id, "kind": kind and kind.upper(), "field": field}
-    return where_all(issues, [F.col(c) == v for c, v in wanted.items() if v])
+    return where_all(issues, [F.col(c) == v for c, v in wanted.items() if v is not None])
 
 
 def list_issues(issues: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
@@ -144,7 +162,7 @@ def order_risk() -> list[Column]:
 
 
 def list_outliers(
-    results: DataFrame,
+    results: Results,
     run_id: str | None = None,
     only_outliers: bool = False,
     group: str | None = None,
@@ -157,7 +175,7 @@ def list_outliers(
 
 
 def list_repeats(
-    results: DataFrame,
+    results: Results,
     run_id: str | None = None,
     risk_class: str | None = None,
     min_score: float | None = None,
@@ -168,7 +186,7 @@ def list_repeats(
 
 
 def list_direct_awards(
-    results: DataFrame,
+    results: Results,
     run_id: str | None = None,
     risk_class: str | None = None,
     min_score: float | None = None,
@@ -190,7 +208,7 @@ def list_direct_awards(
 
 
 def list_supplier_risk(
-    results: DataFrame,
+    results: Results,
     run_id: str | None = None,
     supplier: str | None = None,
     risk_class: str | None = None,

@@ -42,33 +42,25 @@ def update_weight(stored: DataFrame, signal: str, weight: float) -> DataFrame:
 
 
 def read_weights(stored: DataFrame) -> dict[str, float]:
-    """The three signal weights (the table has one row per signal)."""
+    """The weight of each of the three signals; of several rows for one, the largest."""
     known = seed_weights(stored).where(F.col("signal").isin(list(S.DEFAULT_WEIGHTS)))
-    return {r["signal"]: float(r["weight"]) for r in known.limit(len(S.DEFAULT_WEIGHTS)).collect()}
-
-
-def weights_map(stored: DataFrame) -> DataFrame:
-    """The weights as one map column (one entry per signal)."""
-    entry = F.struct("signal", F.col("weight").cast("double"))
-    return stored.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("weights"))
+    one = known.groupBy("signal").agg(F.max("weight").alias("weight"))
+    return {r["signal"]: float(r["weight"]) for r in one.collect()}
 
 
 # --- signals -------------------------------------------------------------------------------
 
 
-def outlier_contracts(outliers: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Outlier results with the supplier of their contract; both ids are unique."""
-    names = contracts.where(F.col("supplier").isNotNull()).select(
-        F.col("id").alias("contract_id"), "supplier", "supplier_tax_id"
-    )
-    return outliers.join(names, "contract_id").select(
+def outlier_contracts(outliers: DataFrame) -> DataFrame:
+    """Outlier results that have a supplier, reduced to what the risk needs."""
+    return outliers.where(F.col("supplier").isNotNull()).select(
         "contract_id", "supplier", "supplier_tax_id", "score"
     )
 
 
-def supplier_outlier_max(outliers: DataFrame, contracts: DataFrame) -> DataFrame:
+def supplier_outlier_max(outliers: DataFrame) -> DataFrame:
     return (
-        outlier_contracts(outliers, contracts)
+        outlier_contracts(outliers)
         .groupBy("supplier", "supplier_tax_id")
         .agg(F.max("score").alias("max_outlier"))
     )
@@ -165,11 +157,10 @@ def combine_supplier_risk(
     outliers: DataFrame,
     repeats: DataFrame,
     direct: DataFrame,
-    contracts: DataFrame,
     weights: Mapping[str, float],
 ) -> DataFrame:
-    """Combined risk from one run of each detector and the current weights."""
-    rows = outlier_contracts(outliers, contracts)
+    """Combined risk from one run of each detector and the current weights: one aggregation, no join."""
+    rows = outlier_contracts(outliers)
     return score_risk(combine_signals(rows, repeats, direct), weights)
 
 

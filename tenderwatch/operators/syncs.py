@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderwatch import schemas as S
@@ -19,9 +19,10 @@ def source_by_name(sources: DataFrame, name: str) -> DataFrame:
     return sources.where(F.col("name") == name)
 
 
-def due_sources(sources: DataFrame, now: datetime | str) -> DataFrame:
+def due_sources(sources: DataFrame, now: datetime | str | Column) -> DataFrame:
     """Active sources never synchronised, or not for at least their frequency in whole days."""
-    elapsed = C.elapsed_days(F.col("last_sync"), F.lit(str(now)).cast("timestamp"))
+    moment = now if isinstance(now, Column) else F.lit(str(now)).cast("timestamp")
+    elapsed = C.elapsed_days(F.col("last_sync"), moment)
     return sources.where(
         F.col("active") & (F.col("last_sync").isNull() | (elapsed >= F.col("every_days")))
     )

@@ -32,7 +32,7 @@ from tenderwatch.sources import testdata
 from tenderwatch.sources.readers import scan_notices
 from tenderwatch.sources.sinks import export_csv
 from tenderwatch.sources.storage import scratch_path
-from tenderwatch.streaming.ingest import stored_notices, stream_ingest
+from tenderwatch.streaming.ingest import add_batch, stored_notices, stream_ingest
 
 Query = Callable[[Pipeline], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -72,37 +72,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # --- A: scans and sources --------------------------------------------------------------------
 
-_SCANNED = ["id_del_proceso", "entidad", "nombre_del_proveedor", "precio_base", "modalidad_de_contratacion", "urlproceso"]
+_NOTICE = [n for n, _ in S.NOTICE_FIELDS]
 
 
 def _landed(p: Pipeline) -> DataFrame:
-    """Notices as text, as a source would publish them."""
-    return p.raw.select(*[F.col(c).cast("string").alias(c) for c in _SCANNED])
-
-
-def _scanned(df: DataFrame) -> DataFrame:
-    return df.select(*[N.normalise_text(F.col(c)).alias(c) for c in _SCANNED])
+    """All notice columns as text, as a source would publish them."""
+    held = set(p.raw.columns)
+    return p.raw.select(
+        "id", *[(F.col(c) if c in held else F.lit(None)).cast("string").alias(c) for c in _NOTICE]
+    )
 
 
 @query
 def scan_notices_json(p: Pipeline) -> DataFrame:
     path = scratch_path(p.spark, "landed-json")
-    _landed(p).write.json(path)
-    return _scanned(scan_notices(p.spark, path, "JSON", lines=True))
+    _landed(p).drop("id").write.json(path)
+    return scan_notices(p.spark, path, "JSON").select(*_NOTICE)
+
+
+@query
+def scan_notices_json_array(p: Pipeline) -> DataFrame:
+    """Documents that are one array each, a few hundred notices long."""
+    path = scratch_path(p.spark, "landed-arrays")
+    part = F.floor(F.col("id") / 5000)
+    rows = _landed(p).select(part.alias("part"), F.struct(*_NOTICE).alias("row"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("value")).repartition("part").write.partitionBy(
+        "part"
+    ).text(path)
+    return scan_notices(p.spark, path, "JSON", lines=False).select(*_NOTICE)
 
 
 @query
 def scan_notices_csv(p: Pipeline) -> DataFrame:
+    """Three kinds of files: all columns, columns in another order, and a few columns only."""
     path = scratch_path(p.spark, "landed-csv")
-    _landed(p).write.options(header=True, quote='"', escape='"').csv(path)
-    return _scanned(scan_notices(p.spark, path, "CSV"))
+    kinds = {0: _NOTICE, 1: ["unknown", *reversed(_NOTICE)], 2: _CSV_FEW}
+    for kind, columns in kinds.items():
+        some = _landed(p).where(F.col("id") % 3 == kind).withColumn("unknown", F.lit("x"))
+        some.select(*columns).write.mode("append").options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
+    return scan_notices(p.spark, path, "CSV").select(*_NOTICE)
+
+
+_CSV_FEW = ["precio_base", "id_del_proceso", "nombre_del_proveedor", "urlproceso"]
 
 
 @query
 def scan_notices_xml(p: Pipeline) -> DataFrame:
     path = scratch_path(p.spark, "landed-xml")
-    _landed(p).write.options(rootTag="rows", rowTag="row").xml(path)
-    return _scanned(scan_notices(p.spark, path, "XML"))
+    _landed(p).drop("id").write.options(rootTag="rows", rowTag="row").xml(path)
+    return scan_notices(p.spark, path, "XML").select(*[N.normalise_text(F.col(c)).alias(c) for c in _SCANNED])
+
+
+_SCANNED = ["id_del_proceso", "entidad", "nombre_del_proveedor", "precio_base", "modalidad_de_contratacion", "urlproceso"]
 
 
 @query
@@ -111,11 +134,6 @@ def publication_window(p: Pipeline) -> DataFrame:
     return kept.select("id", "fecha_de_publicacion_del")
 
 
-@query
-def capped_scan(p: Pipeline) -> DataFrame:
-    return ingest.capped_scan(p.raw.select("id", "id_del_proceso", "entidad"), ["id"])
-
-
 @query
 def source_sample(p: Pipeline) -> DataFrame:
     return ingest.source_sample(p.raw)
@@ -249,7 +267,7 @@ def record_issues_write(p: Pipeline) -> DataFrame:
 
 @query
 def append_run_results(p: Pipeline) -> DataFrame:
-    results = p.outlier_results
+    results = p.outlier_results.rows
     return results.groupBy("run_id", "field").agg(
         F.count("*").alias("n_rows"), F.max("score").alias("max_score"), F.min("computed_at").alias("computed_at")
     )
@@ -265,7 +283,7 @@ def _calibrated(p: Pipeline) -> DataFrame:
 
 def _class_counts(p: Pipeline, weights: DataFrame) -> DataFrame:
     signals = supplier_risk.combine_signals(
-        supplier_risk.outlier_contracts(p.latest[0], p.contracts), *p.latest[1:]
+        supplier_risk.outlier_contracts(p.latest[0]), *p.latest[1:]
     )
     scored = supplier_risk.score_risk(signals, supplier_risk.read_weights(weights))
     return scored.groupBy("risk_class").agg(
@@ -398,6 +416,7 @@ def iqr_fences(p: Pipeline) -> DataFrame:
 
 
 def _outlier_surface(df: DataFrame) -> DataFrame:
+    df = df.drop("supplier", "supplier_tax_id")
     rounded = ["value", "q1", "q3", "iqr", "lower", "upper"]
     return df.select(*[C.round_half_up(F.col(c), 4).alias(c) if c in rounded else F.col(c) for c in df.columns])
 
@@ -443,7 +462,7 @@ def direct_score_class(p: Pipeline) -> DataFrame:
 
 @query
 def combined_score_class(p: Pipeline) -> DataFrame:
-    rows = supplier_risk.outlier_contracts(p.latest[0], p.contracts)
+    rows = supplier_risk.outlier_contracts(p.latest[0])
     weights = {"OUTLIER": 0.5, "SHORT_REPEAT": 1.25, "DIRECT_AWARD": 3.0}
     scored = supplier_risk.score_risk(supplier_risk.combine_signals(rows, *p.latest[1:]), weights)
     return scored.select("supplier", "final_score", "risk_class")
@@ -518,6 +537,11 @@ def list_suspicious(p: Pipeline) -> DataFrame:
     return p.contracts.where("is_suspicious").select(*_SHORT)
 
 
+@query
+def search_issues_of_notice(p: Pipeline) -> DataFrame:
+    return search.search_issues(p.issues, raw_id=p.issues.agg(F.min("raw_id")).scalar())
+
+
 @query
 def search_issues(p: Pipeline) -> DataFrame:
     return search.search_issues(p.issues, kind="missing_field", field="tipo_de_contrato")
@@ -588,8 +612,7 @@ def source_by_name(p: Pipeline) -> DataFrame:
 
 @query
 def due_sources(p: Pipeline) -> DataFrame:
-    now = p.history.agg(F.date_format(F.max("started_at"), "yyyy-MM-dd HH:mm:ss")).first()[0]
-    return syncs.due_sources(p.sources, now)
+    return syncs.due_sources(p.sources, p.history.agg(F.date_trunc("second", F.max("started_at"))).scalar())
 
 
 @query
@@ -617,7 +640,7 @@ def latest_run_(p: Pipeline) -> DataFrame:
     tables = {
         "outliers": p.outlier_results, "repeats": p.repeat_results, "direct_awards": p.direct_results, "supplier_risk": p.risk_results,
     }
-    rows = [latest_run(df).withColumn("results", F.lit(name)) for name, df in tables.items()]
+    rows = [latest_run(df.runs).withColumn("results", F.lit(name)) for name, df in tables.items()]
     out = rows[0]
     for row in rows[1:]:
         out = out.unionByName(row)
@@ -651,12 +674,12 @@ def group_stats_join(p: Pipeline) -> DataFrame:
 
 @query
 def outlier_contract_join(p: Pipeline) -> DataFrame:
-    return supplier_risk.outlier_contracts(p.latest[0], p.contracts)
+    return supplier_risk.outlier_contracts(p.latest[0])
 
 
 @query
 def combine_signals_join(p: Pipeline) -> DataFrame:
-    rows = supplier_risk.outlier_contracts(p.latest[0], p.contracts)
+    rows = supplier_risk.outlier_contracts(p.latest[0])
     return supplier_risk.combine_signals(rows, *p.latest[1:])
 
 
@@ -740,7 +763,7 @@ def direct_award_by_class(p: Pipeline) -> DataFrame:
 
 @query
 def supplier_outlier_max(p: Pipeline) -> DataFrame:
-    return supplier_risk.supplier_outlier_max(p.latest[0], p.contracts)
+    return supplier_risk.supplier_outlier_max(p.latest[0])
 
 
 @query
@@ -756,7 +779,7 @@ def supplier_direct_max(p: Pipeline) -> DataFrame:
 @query
 def combine_supplier_risk(p: Pipeline) -> DataFrame:
     weights = supplier_risk.read_weights(supplier_risk.default_weights(p.spark))
-    return supplier_risk.combine_supplier_risk(*p.latest, p.contracts, weights).drop("weights")
+    return supplier_risk.combine_supplier_risk(*p.latest, weights).drop("weights")
 
 
 @query
@@ -930,7 +953,7 @@ def autocomplete(p: Pipeline) -> DataFrame:
 
 @query
 def supplier_universe(p: Pipeline) -> DataFrame:
-    rows = supplier_risk.outlier_contracts(p.latest[0], p.contracts)
+    rows = supplier_risk.outlier_contracts(p.latest[0])
     return supplier_risk.supplier_universe(rows, *p.latest[1:])
 
 
@@ -943,16 +966,44 @@ def upsert_merge(p: Pipeline) -> DataFrame:
 # --- J: incremental ingest -------------------------------------------------------------------
 
 
+_LANDED = ["id_del_proceso", "entidad", "precio_base", "fecha_adjudicacion", "nit_entidad"]
+
+
+def _land(rows: DataFrame, landing: str) -> None:
+    """One landed file per call, so that the order of arrival is known."""
+    rows.select(*_LANDED).repartition(1).sortWithinPartitions(*_LANDED).write.mode("append").json(landing)
+
+
+def _streamed(p: Pipeline, splits: list[tuple[int, Column]]) -> DataFrame:
+    """Land and take in the notices of each split in turn, with a checkpoint per source."""
+    target = scratch_path(p.spark, "stored")
+    places = {s: (scratch_path(p.spark, "landing"), scratch_path(p.spark, "offsets")) for s, _ in splits}
+    for source, condition in splits:
+        landing, checkpoint = places[source]
+        _land(p.arriving.where(condition), landing)
+        stream_ingest(p.spark, landing, target, checkpoint, source_id=source).awaitTermination()
+    return stored_notices(p.spark, target).select("fuente_id", "batch", *_LANDED)
+
+
 @query
 def stream_ingest_(p: Pipeline) -> DataFrame:
-    """Two landings, the second overlapping the first; stored rows per landing."""
+    """Two landings of one source, the second overlapping the first; what is stored of each."""
+    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01"), (1, F.lit(True))])
+
+
+@query
+def stream_ingest_two_sources(p: Pipeline) -> DataFrame:
+    """Two sources with overlapping keys fill one store, each with its own checkpoint."""
+    late = F.col("fecha_adjudicacion") >= "1997-01-01"
+    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01"), (2, late)])
+
+
+@query
+def sync_counts(p: Pipeline) -> DataFrame:
+    """One synchronisation with a window, undated notices and unreadable values, through the job's path."""
     landing, target = scratch_path(p.spark, "landing"), scratch_path(p.spark, "stored")
-    checkpoint = scratch_path(p.spark, "offsets")
-    rows = p.arriving.select("id_del_proceso", "entidad", "precio_base", "fecha_adjudicacion", "nit_entidad")
-    for cutoff in ("1998-01-01", "2100-01-01"):
-        rows.where(F.col("fecha_adjudicacion") < F.lit(cutoff).cast("timestamp")).write.mode("append").json(landing)
-        stream_ingest(p.spark, landing, target, checkpoint, source_id=1, files_per_batch=100_000).awaitTermination()
-    stored = stored_notices(p.spark, target)
-    return stored.groupBy("batch").agg(
-        F.count("*").alias("inserted"), F.count("id_del_proceso").alias("with_key")
-    )
+    bad = F.when(F.col("id") % 61 == 0, "n/a").otherwise(F.col("precio_base").cast("string"))
+    columns = ["id_del_proceso", "fecha_de_publicacion_del", "entidad"]
+    p.arriving.select(*columns, bad.alias("precio_base")).write.json(landing)
+    counts = add_batch(scan_notices(p.spark, landing, "JSON"), target, 1, "sync", 0, "1995-01-01", "1998-12-31")
+    return p.spark.createDataFrame([counts]).select(*[F.col(c).cast("long") for c in sorted(counts)])

@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderwatch import schemas as S
-from tenderwatch.operators import direct_awards, ingest, normalise, outliers, repeats, search, supplier_risk
-from tenderwatch.operators.runs import append_run, rows_of_run, stamp_run
+from tenderwatch.operators import direct_awards, ingest, normalise, outliers, repeats, search, supplier_risk, syncs
+from tenderwatch.operators.runs import Results, append_run, read_results, resolve_run, rows_of_run
+from tenderwatch.sources.manifest import Manifest
 from tenderwatch.sources.readers import scan_notices
 from tenderwatch.sources.sinks import RunStore
-from tenderwatch.sources.storage import settle
-from tenderwatch.streaming.ingest import add_batch, stored_notices
+from tenderwatch.sources.storage import scratch, settle
+from tenderwatch.streaming.ingest import add_batch, batches, rejects, stored_notices
 
 _RUN = "run_id string, computed_at timestamp"
 RESULT_SCHEMAS = {
     "outlier_results": f"""contract_id bigint, grp string, field string, value double, q1 double, q3 double, iqr double,
-        lower double, upper double, is_outlier boolean, direction string, score double, {_RUN}""",
+        lower double, upper double, is_outlier boolean, direction string, score double, supplier string,
+        supplier_tax_id string, {_RUN}""",
     "repeat_results": f"""contract_id bigint, related_id bigint, supplier string, buyer string, contract_type string,
         method string, contract_date date, related_date date, days int, score double, risk_class string, {_RUN}""",
     "direct_award_results": f"""contract_id bigint, supplier string, supplier_tax_id string, buyer string, contract_type string,
@@ -36,7 +38,10 @@ RESULT_SCHEMAS = {
         final_score double, risk_class string, weights map<string,double>, {_RUN}""",
 }
 HISTORY_SCHEMA = """id string, source_id int, started_at timestamp, ended_at timestamp, fetched bigint, inserted bigint,
-    duplicates bigint, state string, error string"""
+    duplicates bigint, rejected bigint, outside bigint, bad_values bigint, since string, until string, state string,
+    error string"""
+SOURCE_SCHEMA = """id int, name string, kind string, format string, endpoint string, every_days bigint, active boolean,
+    last_sync timestamp"""
 LOG_SCHEMA = """id string, n_evaluated bigint, n_processed bigint, n_skipped bigint, n_issues bigint, started_at timestamp,
     ended_at timestamp, seconds bigint, forced boolean, state string, error string"""
 ISSUE_SCHEMA = T.StructType(
@@ -80,8 +85,26 @@ class Monitor:
     def issues(self) -> DataFrame:
         return self.store.read("issues", ISSUE_SCHEMA)
 
-    def results(self, name: str) -> DataFrame:
-        return self._table(name, RESULT_SCHEMAS[name])
+    @property
+    def rejects(self) -> DataFrame:
+        """Values that could not be read, and undated notices that a window could not place."""
+        return rejects(self.spark, f"{self.root}/raw_notices")
+
+    def results(self, name: str) -> Results:
+        return read_results(self.spark, f"{self.root}/{name}", T.StructType.fromDDL(RESULT_SCHEMAS[name]))
+
+    @property
+    def sources(self) -> DataFrame:
+        """Registered sources, with the end of their last successful synchronisation."""
+        table = self._table("sources", f"{SOURCE_SCHEMA}, updated_at timestamp")
+        columns = T.StructType.fromDDL(SOURCE_SCHEMA).fieldNames()
+        newest = table.groupBy("id").agg(F.max_by(F.struct(*columns[1:]), "updated_at").alias("s")).select("id", "s.*")
+        return syncs.watermarks(newest, self.sync_history).select(*columns)
+
+    def add_source(self, source_id: int, name: str, fmt: str, endpoint: str, every_days: int = 15, active: bool = True) -> None:
+        """Register a source, or change one."""
+        row = (source_id, name, "OPEN_DATA", fmt.upper(), endpoint, every_days, active, None, _now())
+        self.spark.createDataFrame([row], f"{SOURCE_SCHEMA}, updated_at timestamp").write.mode("append").parquet(f"{self.root}/sources")
 
     @property
     def sync_history(self) -> DataFrame:
@@ -106,30 +129,54 @@ class Monitor:
         fmt: str,
         since: date | str | None = None,
         until: date | str | None = None,
-        lines: bool = False,
+        **reading: bool,
     ) -> Row:
-        """Read one source, insert what is new, and log the outcome with its real counts."""
-        started, fetched, batch = _now(), 0, None
+        """Read one source, insert what is new, and log where every fetched notice went.
+
+        Without ``since`` and ``until`` nothing is left out. Each synchronisation is a writer of its
+        own, so two at a time can't overwrite each other.
+        """
+        started, counts = _now(), {}
         state, error = S.SYNC_OK, None
         try:
-            landed = ingest.conform_schema(scan_notices(self.spark, path, fmt, lines), source_id)
-            window = settle(
-                ingest.publication_window(ingest.coerce_types(landed), since, until).drop("fuente_id"), "window"
-            )
-            fetched = window.count()
-            batch = 1 + (self.raw_notices.agg(F.max("batch")).first()[0] or 0)
-            add_batch(window, f"{self.root}/raw_notices", source_id, batch)
+            landed = scan_notices(self.spark, path, fmt, **reading)
+            writer = f"sync-{source_id}-{uuid.uuid4().hex}"
+            counts = add_batch(landed, f"{self.root}/raw_notices", source_id, writer, 0, since, until)
         except Exception as failure:
             state, error = S.SYNC_ERROR, str(failure)
-        inserted = self.raw_notices.where(F.col("batch") == batch).count() if batch else 0
+        names = ("fetched", "inserted", "duplicates", "rejected", "outside", "bad_values")
         row = self._log(
             "sync_history", HISTORY_SCHEMA, id=str(uuid.uuid4()), source_id=source_id, started_at=started, ended_at=_now(),
-            fetched=fetched, inserted=inserted, duplicates=fetched - inserted, state=state, error=error,
+            since=str(since) if since else None, until=str(until) if until else None, state=state, error=error,
+            **{n: counts.get(n, 0) for n in names},
         )
         if error:
             raise RuntimeError(f"synchronisation failed: {error}")
         return row
 
+    def sync_due(self, now: datetime | str | None = None) -> dict[int, str]:
+        """Synchronise every due source from the day of its last success; returns their states.
+
+        A source that fails is logged and leaves the others alone. Sources are few: they are listed
+        by hand.
+        """
+        moment = now or _now().strftime("%Y-%m-%d %H:%M:%S")
+        states = {}
+        for s in syncs.due_sources(self.sources, moment).orderBy("id").collect():
+            since = s["last_sync"].date() if s["last_sync"] else None
+            try:
+                states[s["id"]] = self.sync_source(s["id"], s["endpoint"], s["format"], since)["state"]
+            except RuntimeError:
+                states[s["id"]] = S.SYNC_ERROR
+        return states
+
+    def test_source(self, path: str, fmt: str, **reading: bool) -> Row:
+        """Whether a source can be read and holds anything: ``ok, message, n_sample``."""
+        try:
+            return ingest.source_sample(scan_notices(self.spark, path, fmt, **reading)).first()
+        except Exception as failure:
+            return Row(ok=False, message=str(failure), n_sample=0)
+
     def last_sync(self, source_id: int) -> datetime | None:
         """End of the latest successful sync; the next window starts on that day."""
         done = self.sync_history.where((F.col("source_id") == source_id) & (F.col("state") == S.SYNC_OK))
@@ -140,13 +187,14 @@ class Monitor:
     def normalise(self, as_of: date | str, force: bool = False) -> Row:
         """Turn notices into contracts and issues.
 
-        Without ``force`` only notices without a contract are read further, and their rows are
-        appended. With it everything is normalised again and a new version replaces the old
-        one, keeping unchanged contracts and their issues.
+        Without ``force`` only batches of notices that no earlier run has covered are read, and their
+        rows are appended. With it everything is normalised again and a new version replaces the
+        old one, keeping unchanged contracts and their issues.
         """
         started, run = _now(), str(uuid.uuid4())
         try:
-            counts = self._normalise(as_of, force, run, started)
+            with scratch(self.spark):
+                counts = self._normalise(as_of, force, run, started)
         except Exception as failure:
             self._log(
                 "normalise_runs", LOG_SCHEMA, id=run, started_at=started, ended_at=_now(), forced=force,
@@ -159,24 +207,45 @@ class Monitor:
             seconds=int((ended - started).total_seconds()), **counts.asDict(),
         )
 
+    @property
+    def _covered(self) -> Manifest:
+        """Batches whose notices are all in the current contracts."""
+        return Manifest(self.spark, f"{self.root}/normalised_batches", "writer string, batch bigint, run string")
+
+    def new_notices(self) -> DataFrame:
+        """Notices of batches that no run has covered: a choice of folders, no join of notices."""
+        listed = batches(self.spark, f"{self.root}/raw_notices").rows().select("writer", "batch")
+        new = listed.join(self._covered.rows(), ["writer", "batch"], "left_anti")
+        names = [(r["writer"], r["batch"]) for r in new.collect()]
+        if not names:
+            return self.raw_notices.limit(0)
+        wanted = F.struct("writer", "batch").isin([F.struct(F.lit(w), F.lit(b).cast("bigint")) for w, b in names])
+        rows = self.spark.read.schema(self.raw_notices.schema).parquet(f"{self.root}/raw_notices")
+        return rows.where(F.col("writer").isin([w for w, _ in names]) & wanted)
+
     def _normalise(self, as_of: date | str, force: bool, run: str, started: datetime) -> Row:
-        stored, stored_issues = self.contracts, self.issues
-        notices = self.raw_notices if force else normalise.unprocessed(self.raw_notices, stored)
-        notices = settle(notices, "notices")
-        fresh = normalise.normalise_contracts(notices, as_of)
+        done = batches(self.spark, f"{self.root}/raw_notices").rows().select("writer", "batch")
+        done = done.withColumn("run", F.lit(run)).collect()
+        notices = settle(self.raw_notices if force else self.new_notices(), "notices")
         stamp = F.lit(started.replace(tzinfo=None)).cast("timestamp")
-        issues = normalise.record_issues(notices, as_of).withColumn("created_at", stamp)
-        actions = settle(normalise.upsert_actions(fresh, stored, force), "actions")
+        issues = settle(normalise.record_issues(notices, as_of).withColumn("created_at", stamp), "issues")
+        fresh = normalise.normalise_contracts(notices, as_of)
+        if force:
+            stored = self.contracts
+            actions = settle(normalise.upsert_actions(fresh, stored, True), "actions")
+        else:  # notices of new batches have no contract yet
+            actions = settle(fresh.withColumn("action", F.lit("insert")), "actions")
         counts = normalise.normalise_counts(actions, issues).first()
         if counts["n_processed"]:
             if force:
                 tables = {
                     "contracts": normalise.upsert_merge(actions, stored),
-                    "issues": normalise.merge_issues(actions, issues, stored_issues),
+                    "issues": normalise.merge_issues(actions, issues, self.issues),
                 }
             else:
                 tables = {"contracts": actions.drop("action"), "issues": issues}
             self.store.write(tables, run, replace=force)
+        self._covered.replace(done)
         return counts
 
     # --- detectors --------------------------------------------------------------------------
@@ -184,24 +253,27 @@ class Monitor:
     def _run(self, name: str, rows: DataFrame) -> str:
         run = str(uuid.uuid4())
         columns = T._parse_datatype_string(RESULT_SCHEMAS[name]).fieldNames()
-        stamped = stamp_run(rows, run, _now().strftime("%Y-%m-%d %H:%M:%S.%f"))
-        append_run(stamped.select(*columns), f"{self.root}/{name}")
+        kept = [c for c in columns if c not in ("run_id", "computed_at")]
+        append_run(rows.select(*kept), f"{self.root}/{name}", run, _now().strftime("%Y-%m-%d %H:%M:%S.%f"))
         return run
 
     def run_outliers(self, field: str = "total_value", **filters: object) -> str:
-        return self._run("outlier_results", outliers.detect_outliers(self.contracts, field, **filters))
+        with scratch(self.spark):
+            return self._run("outlier_results", outliers.detect_outliers(self.contracts, field, **filters))
 
     def run_repeats(self, since: date | str | None = None, until: date | str | None = None) -> str:
-        return self._run("repeat_results", repeats.detect_repeats(self.contracts, since, until))
+        with scratch(self.spark):
+            return self._run("repeat_results", repeats.detect_repeats(self.contracts, since, until))
 
     def run_direct_awards(self, **limits: object) -> str:
-        return self._run("direct_award_results", direct_awards.detect_direct_awards(self.contracts, **limits))
+        with scratch(self.spark):
+            return self._run("direct_award_results", direct_awards.detect_direct_awards(self.contracts, **limits))
 
     def run_risk(self) -> str:
         """Combine the latest run of each detector with the current weights."""
         latest = [rows_of_run(self.results(n)) for n in ("outlier_results", "repeat_results", "direct_award_results")]
         weights = supplier_risk.read_weights(self.weights)
-        return self._run("supplier_risk", supplier_risk.combine_supplier_risk(*latest, self.contracts, weights))
+        return self._run("supplier_risk", supplier_risk.combine_supplier_risk(*latest, weights))
 
     # --- weights ----------------------------------------------------------------------------
 
@@ -220,7 +292,7 @@ class Monitor:
     # --- pages ------------------------------------------------------------------------------
 
     def page(self, name: str, page: int = 1, size: int = 50, run_id: str | None = None, **filters: object) -> DataFrame:
-        """One page of a result table; the latest run unless one is named."""
+        """One page of a result table; the latest run unless one is named. No run at all is an error."""
         listing: dict[str, tuple[Callable[..., DataFrame], Callable[[], list]]] = {
             "outlier_results": (search.list_outliers, search.order_outliers),
             "repeat_results": (search.list_repeats, search.order_repeats),
@@ -228,4 +300,5 @@ class Monitor:
             "supplier_risk": (search.list_supplier_risk, search.order_risk),
         }
         rows, order = listing[name]
+        run_id = resolve_run(self.results(name), run_id)
         return search.paginate(rows(self.results(name), run_id, **filters), order(), page, size)

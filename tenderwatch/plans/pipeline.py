@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderwatch.operators import direct_awards, normalise, outliers, repeats, supplier_risk
-from tenderwatch.operators.runs import append_run, rows_of_run, stamp_run
+from tenderwatch.operators.runs import Results, append_run, read_results, rows_of_run, stamp_run
 from tenderwatch.sources import testdata
 from tenderwatch.sources.storage import scratch_path, settle
 
@@ -30,7 +30,7 @@ class Pipeline:
         self.sf_dir = sf_dir
         self._tables: dict[str, DataFrame] = {}
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _once(self, name: str, build: Callable[[], DataFrame | Results]) -> DataFrame | Results:
         if name not in self._tables:
             self._tables[name] = build()
         return self._tables[name]
@@ -75,15 +75,14 @@ class Pipeline:
 
     # --- detector runs ----------------------------------------------------------------------
 
-    def _runs(self, name: str, old: DataFrame, new: DataFrame) -> DataFrame:
+    def _runs(self, name: str, old: DataFrame, new: DataFrame) -> Results:
         path = scratch_path(self.spark, name)
-        append_run(stamp_run(old, OLD_RUN, OLD_TIME), path)
-        append_run(stamp_run(new, NEW_RUN, NEW_TIME), path)
-        schema = stamp_run(new, NEW_RUN, NEW_TIME).schema
-        return self.spark.read.schema(schema).parquet(path)
+        append_run(old, path, OLD_RUN, OLD_TIME)
+        append_run(new, path, NEW_RUN, NEW_TIME)
+        return read_results(self.spark, path, stamp_run(new, NEW_RUN, NEW_TIME).schema)
 
     @property
-    def outlier_results(self) -> DataFrame:
+    def outlier_results(self) -> Results:
         detect = outliers.detect_outliers
         return self._once(
             "outlier_results",
@@ -95,7 +94,7 @@ class Pipeline:
         )
 
     @property
-    def repeat_results(self) -> DataFrame:
+    def repeat_results(self) -> Results:
         detect = repeats.detect_repeats
         return self._once(
             "repeat_results",
@@ -105,7 +104,7 @@ class Pipeline:
         )
 
     @property
-    def direct_results(self) -> DataFrame:
+    def direct_results(self) -> Results:
         detect = direct_awards.detect_direct_awards
         return self._once(
             "direct_results",
@@ -124,9 +123,9 @@ class Pipeline:
         )
 
     @property
-    def risk_results(self) -> DataFrame:
+    def risk_results(self) -> Results:
         def score(weights: dict[str, float]) -> DataFrame:
-            return supplier_risk.combine_supplier_risk(*self.latest, self.contracts, weights)
+            return supplier_risk.combine_supplier_risk(*self.latest, weights)
 
         even = {"OUTLIER": 1.0, "SHORT_REPEAT": 1.0, "DIRECT_AWARD": 1.0}
         defaults = supplier_risk.read_weights(supplier_risk.default_weights(self.spark))

@@ -156,7 +156,6 @@ DEFAULT_WEIGHTS = {"OUTLIER": 1.0, "SHORT_REPEAT": 1.5, "DIRECT_AWARD": 2.0}
 
 # Ingest settings.
 FIRST_DAY = "2020-01-01"
-TEST_MODE_ROWS = 10000
 SAMPLE_ROWS = 5
 
 SYNC_STATES = ["EN_PROCESO", "EXITOSO", "ERROR"]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderwatch.sources.manifest import Manifest
+from tenderwatch.sources.storage import exists
+
 
 def export_csv(rows: DataFrame, path: str) -> None:
     """Semicolon CSV, every field quoted, quotes doubled, NULL as an empty field.
@@ -42,29 +44,21 @@ class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-
-    def _listed(self) -> list[tuple[int, str]]:
-        """(version, run) of every complete run: one small row per run."""
-        try:
-            listed = self.spark.read.schema("version bigint, run string").json(f"{self.root}/complete")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        return [(r["version"], r["run"]) for r in listed.collect()]
+        self.complete = Manifest(spark, f"{self.root}/complete", "version bigint, run string")
 
     def current_version(self) -> int:
         """0 before the first run."""
-        return max((v for v, _ in self._listed()), default=0)
+        return self.complete.rows().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
     def read(self, table: str, schema: T.StructType, version: int | None = None) -> DataFrame:
-        """A table as of its current or a given version."""
-        listed = self._listed()
-        wanted = version or max((v for v, _ in listed), default=0)
-        paths = [self._path(table, v, run) for v, run in listed if v == wanted]
-        if not paths:
+        """A table as of its current or a given version: the folders of its complete runs."""
+        wanted = version or self.current_version()
+        folder = f"{self.root}/{table}/version={wanted}"
+        if not wanted or not exists(self.spark, folder):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+        stored = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+        listed = self.complete.rows().where(F.col("version") == wanted).select("run")
+        return self.spark.read.schema(stored).parquet(folder).join(listed, "run", "left_semi").select(*schema.fieldNames())
 
     def _path(self, table: str, version: int, run: str) -> str:
         return f"{self.root}/{table}/version={version}/run={run}"
@@ -75,6 +69,5 @@ class RunStore:
         version = current + 1 if replace or current == 0 else current
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(self._path(name, version, run))
-        entry = self.spark.sql(f"SELECT CAST({version} AS BIGINT) AS version, '{run}' AS run")
-        entry.write.mode("append").json(f"{self.root}/complete")
+        self.complete.put({"version": version, "run": run}, ["version", "run"])
         return version

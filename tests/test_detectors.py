@@ -7,7 +7,7 @@ import pytest
 
 from tenderwatch import schemas as S
 from tenderwatch.operators import direct_awards, outliers, repeats, supplier_risk
-from tenderwatch.operators.runs import append_run, latest_run, resolve_run, rows_of_run, stamp_run
+from tenderwatch.operators.runs import append_run, latest_run, read_results, resolve_run, rows_of_run, stamp_run
 
 
 def contracts(spark, rows):
@@ -98,12 +98,12 @@ def test_direct_award_thresholds(spark):
 
 
 def test_combined_risk(spark):
-    df = contracts(spark, [{"supplier": "A", "supplier_tax_id": "7"}, {"supplier": "A", "supplier_tax_id": "8"}, {"supplier": "Z"}])
-    out = spark.createDataFrame([(1, 2.0), (2, 0.5), (3, 0.0)], "contract_id long, score double")
+    found = [(1, 2.0, "A", "7"), (2, 0.5, "A", "8"), (3, 0.0, "Z", None), (4, 9.0, None, None)]
+    out = spark.createDataFrame(found, "contract_id long, score double, supplier string, supplier_tax_id string")
     rep = spark.createDataFrame([("A", 1.0), ("R", 4.0), ("", 9.0)], "supplier string, score double")
     dire = spark.createDataFrame([("D", "5", 2.5), ("E", None, 1.0)], "supplier string, supplier_tax_id string, score double")
     rows = {
-        r["supplier"]: r for r in supplier_risk.combine_supplier_risk(out, rep, dire, df, S.DEFAULT_WEIGHTS).collect()
+        r["supplier"]: r for r in supplier_risk.combine_supplier_risk(out, rep, dire, S.DEFAULT_WEIGHTS).collect()
     }
     assert {s: (r["final_score"], r["risk_class"]) for s, r in rows.items()} == {
         "A": (3.5, "MEDIUM"), "Z": (0.0, "LOW"), "R": (6.0, "HIGH"), "D": (5.0, "HIGH"), "E": (2.0, "MEDIUM"),
@@ -125,12 +125,15 @@ def test_weights(spark):
 def test_runs(spark, tmp_path):
     path = str(tmp_path / "results")
     rows = spark.range(3)
-    append_run(stamp_run(rows, "b", "2020-01-01 00:00:00"), path)
-    append_run(stamp_run(rows, "a", "2020-01-02 00:00:00"), path)
-    append_run(stamp_run(rows.where("id < 0"), "empty", "2020-01-03 00:00:00"), path)
-    stored = spark.read.schema("id long, computed_at timestamp, run_id string").parquet(path)
-    assert latest_run(stored).first()["run_id"] == "a"
-    assert rows_of_run(stored).count() == 3 and rows_of_run(stored, "b").count() == 3
-    assert resolve_run(stored, "b") == "b"
+    schema = stamp_run(rows, "", "2020-01-01").schema
     with pytest.raises(ValueError):
-        resolve_run(stored.where("id < 0"))
+        resolve_run(read_results(spark, path, schema))
+    append_run(rows, path, "b", "2020-01-01 00:00:00")
+    append_run(rows, path, "a", "2020-01-02 00:00:00")
+    append_run(rows.where("id < 0"), path, "empty", "2020-01-03 00:00:00")
+    stored = read_results(spark, path, schema)
+    assert latest_run(stored.runs).first()["run_id"] == resolve_run(stored) == "a"
+    assert rows_of_run(stored).count() == 3 and rows_of_run(stored, "b").count() == 3
+    assert resolve_run(stored, "b") == "b" and rows_of_run(stored, "empty").count() == 0
+    plan = latest_run(stored.runs)._jdf.queryExecution().toString()
+    assert "results_runs" in plan and "results/run_id" not in plan and plan.count("FileScan") == 1

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tenderwatch import schemas as S
 from tenderwatch.operators import ingest, syncs
+from tenderwatch.sources.manifest import Manifest
 from tenderwatch.sources.readers import scan_notices
 from tenderwatch.sources.sinks import RunStore, export_csv, write_by_month
-from tenderwatch.streaming.ingest import add_batch, stored_notices, stream_ingest
+from tenderwatch.streaming.ingest import add_batch, rejects, stored_notices, stream_ingest
 
 
 def test_json_array(spark, tmp_path):
@@ -19,8 +20,8 @@ def test_json_array(spark, tmp_path):
         {"id_del_proceso": "p2", "fecha_adjudicacion": "2024-01-02T03:04:05.000", "precio_base": 7},
     ]
     (tmp_path / "a.json").write_text(json.dumps(rows))
-    df = scan_notices(spark, str(tmp_path), "json")
-    assert df.columns == [n for n, _ in S.NOTICE_FIELDS]
+    df = scan_notices(spark, str(tmp_path), "json", lines=False)
+    assert df.drop("_arrival").columns == [n for n, _ in S.NOTICE_FIELDS]
     typed = ingest.coerce_types(ingest.conform_schema(df, 4)).orderBy("id_del_proceso").collect()
     assert [r["fuente_id"] for r in typed] == [4, 4]
     assert json.loads(typed[0]["urlproceso"]) == {"url": "https://x"}
@@ -54,7 +55,7 @@ def test_insert_ignore(spark):
     added = ingest.insert_ignore(incoming, stored, ["seq"])
     assert sorted(map(tuple, added.collect()), key=str) == sorted([("a", 1), (None, 1), (None, 1), ("c", 5)], key=str)
     r = ingest.sync_result(incoming, added).first()
-    assert (r["fetched"], r["inserted"], r["duplicates"], r["since"]) == (6, 4, 2, S.FIRST_DAY)
+    assert (r["fetched"], r["inserted"], r["duplicates"], r["since"]) == (6, 4, 2, None)
     assert ingest.insert_ignore(incoming, stored.unionByName(added), ["seq"]).where("id_del_proceso IS NOT NULL").count() == 0
 
 
@@ -80,15 +81,73 @@ def test_stream_two_runs(spark, tmp_path):
     assert run().count() == 4  # nothing new landed
 
 
-def test_retried_batch_replaces_itself(spark, tmp_path):
+def arrived(df):
+    order = F.struct(F.current_timestamp().alias("at"), F.lit("f").alias("file"), F.lit(0).cast("long").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("_arrival", order)
+
+
+def test_retried_batch_is_taken_once(spark, tmp_path):
     target = str(tmp_path / "raw")
     df = spark.createDataFrame([("a", "1"), ("b", "2")], "id_del_proceso string, precio_base string")
     for _ in range(2):
-        add_batch(df, target, 1, batch=0)
+        add_batch(arrived(df), target, 1, "w", 0)
     assert stored_notices(spark, target).count() == 2
-    for _ in range(2):
-        add_batch(df.unionByName(df.limit(1).withColumn("id_del_proceso", F.lit("c"))), target, 1, batch=1)
-    assert sorted(r["id_del_proceso"] for r in stored_notices(spark, target).collect()) == ["a", "b", "c"]
+    # a lost job has left half of a batch behind: it is invisible, and the retry replaces it
+    stored_notices(spark, target).drop("writer", "batch").write.parquet(f"{target}/writer=w/batch=1")
+    assert stored_notices(spark, target).count() == 2
+    more = df.unionByName(df.limit(1).withColumn("id_del_proceso", F.lit("c")))
+    assert add_batch(arrived(more), target, 1, "w", 1)["inserted"] == 1
+    assert add_batch(arrived(more), target, 1, "w", 1) == {}
+    rows = stored_notices(spark, target).collect()
+    assert sorted(r["id_del_proceso"] for r in rows) == ["a", "b", "c"] and len({r["id"] for r in rows}) == 3
+
+
+def test_first_to_arrive_wins_and_nothing_vanishes(spark, tmp_path):
+    landing, target = tmp_path / "in", str(tmp_path / "raw")
+    day = "2023-05-05T00:00:00"
+    full = {"id_del_proceso": "k", "entidad": "buyer", "precio_base": "5", "fecha_de_publicacion_del": day}
+    _land(landing, "1.json", [full, {"id_del_proceso": "k", "fecha_de_publicacion_del": day}])
+    _land(landing, "2.json", [{"id_del_proceso": "u", "fecha_de_publicacion_del": "15/10/2023"}, {"id_del_proceso": "n"}])
+    _land(landing, "3.json", [{"id_del_proceso": "o", "fecha_de_publicacion_del": "2019-01-01T00:00:00", "precio_base": "x"}])
+    counts = add_batch(scan_notices(spark, str(landing), "JSON"), target, 1, "w", 0, since="2020-01-01")
+    assert counts == {"fetched": 5, "inserted": 1, "duplicates": 1, "rejected": 2, "outside": 1, "bad_values": 2}
+    assert stored_notices(spark, target).first()["entidad"] == "buyer"
+    kept = {(r["id_del_proceso"], r["reason"], r["value"]) for r in rejects(spark, target).collect()}
+    assert kept == {("u", "UNREADABLE", "15/10/2023"), ("u", "UNDATED", None), ("n", "UNDATED", None), ("o", "UNREADABLE", "x")}
+
+
+def test_two_streams_and_a_lost_checkpoint_share_a_store(spark, tmp_path):
+    target = str(tmp_path / "raw")
+    for source, name in ((1, "a"), (2, "b")):
+        _land(tmp_path / name, "1.json", [{"id_del_proceso": f"{name}{i}"} for i in range(5)] + [{"id_del_proceso": "both"}])
+        stream_ingest(spark, str(tmp_path / name), target, str(tmp_path / f"offsets-{name}"), source).awaitTermination()
+    assert Counter(r["fuente_id"] for r in stored_notices(spark, target).collect()) == {1: 6, 2: 5}
+    _land(tmp_path / "a", "2.json", [{"id_del_proceso": "new"}])
+    stream_ingest(spark, str(tmp_path / "a"), target, str(tmp_path / "offsets-new"), 1).awaitTermination()
+    rows = stored_notices(spark, target).collect()
+    assert len(rows) == len({r["id"] for r in rows}) == len({r["id_del_proceso"] for r in rows}) == 12
+
+
+def test_concurrent_change_of_a_manifest_is_noticed(spark, tmp_path):
+    m = Manifest(spark, str(tmp_path / "m"), "k string, n bigint")
+    m.put({"k": "a", "n": 1}, ["k"])
+    seen = m.version()
+    m.put({"k": "a", "n": 2}, ["k"])
+    with pytest.raises(RuntimeError):
+        m.put({"k": "b", "n": 3}, ["k"], after=seen)
+    for n in range(6):
+        m.put({"k": f"x{n}", "n": n}, ["k"])
+    assert m.rows().count() == 7 and len(list((tmp_path / "m").glob("v=*"))) <= 4
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id_del_proceso,entidad,nombre_del_proveedor\np1,Buyer1,Supp1\n")
+    (tmp_path / "b.csv").write_text('"nombre_del_proveedor","id_del_proceso",entidad,precio_base\nSupp2,p2,Buyer2,7\n')
+    (tmp_path / "c.csv").write_text("\ufeffentidad,id_del_proceso\nBuyer3,p3\n")
+    rows = scan_notices(spark, str(tmp_path), "CSV").collect()
+    assert {(r["id_del_proceso"], r["entidad"], r["nombre_del_proveedor"], r["precio_base"]) for r in rows} == {
+        ("p1", "Buyer1", "Supp1", None), ("p2", "Buyer2", "Supp2", "7"), ("p3", "Buyer3", None, None),
+    }
 
 
 def test_publication_window_reaches_the_scan(spark, tmp_path):

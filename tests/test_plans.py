@@ -54,7 +54,7 @@ def test_detectors_read_only_their_columns(p):
 def test_no_product_joins(p, name):
     arriving = p.arriving.select("id_del_proceso", "id")
     df = {
-        "risk": lambda: supplier_risk.combine_supplier_risk(*p.latest, p.contracts, DEFAULT_WEIGHTS),
+        "risk": lambda: supplier_risk.combine_supplier_risk(*p.latest, DEFAULT_WEIGHTS),
         "direct": lambda: direct_awards.detect_direct_awards(p.contracts),
         "insert": lambda: ingest.insert_ignore(arriving, arriving.where("id > 1000"), ["id"]),
         "outliers": lambda: outliers.detect_outliers(p.contracts),

@@ -1,15 +1,20 @@
 """Every registered query against its SQL, run by DuckDB on the same tables."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tenderwatch.plans import catalog, check_sql
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = catalog.queries(), check_sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +32,17 @@ def rows_of(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
+
+
+def test_entry_works_without_the_optional_parts(tmp_path):
+    """A copy without the training-data operators and their pipeline still registers all others."""
+    root = Path(entry_module.__file__).parent
+    shutil.copytree(root / "tenderwatch", tmp_path / "tenderwatch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": ""})
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(SQL))]
 
 
 def test_entry(spark):
