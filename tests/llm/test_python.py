@@ -328,6 +328,15 @@ def test_toxicity(spark):
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(r["doc_id"] for r in found if not r["predicted"])
 
 
+def test_sampling_the_classes_apart_changes_no_balance(spark):
+    """With far more clean rows than the sample takes, toxic text still scores high."""
+    rows, labels = toxic_docs(900)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows, clash=False), known, sample_rows=80)
+    right = sum((model.score(t) >= 0.5) == bool(y) for (_, t), (_, _, y) in zip(rows, labels))
+    assert right >= 0.97 * len(rows)
+
+
 def test_toxicity_without_positives(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(docs(spark), none).collect()} == {0}
