@@ -128,5 +128,43 @@ FROM d LEFT JOIN f USING (doc_id)
 """
 
 
+def _drawn(key: str, node: hash_tree.Node, path: str = "") -> str:
+    """The shard of a key as nested SQL: at each level the child of the smallest draw."""
+    if not node.children:
+        return str(node.shard)
+    names = sorted(node.children)
+    if len(names) == 1:
+        return _drawn(key, node.children[names[0]], f"{path}{names[0]}.")
+    draws = [
+        f"-ln((CAST('0x' || substr(md5({key} || '/{path}{n}'), 1, 12) AS BIGINT) + 0.5) / {float(1 << 48)}) / {node.children[n].weight}"
+        for n in names
+    ]
+    cases = " ".join(f"WHEN {k + 1} THEN {_drawn(key, node.children[n], f'{path}{n}.')}" for k, n in enumerate(names))
+    lowest = f"list_position([{', '.join(draws)}], list_min([{', '.join(draws)}]))"
+    return f"CASE {lowest} {cases} END"
+
+
+def _op6() -> str:
+    """The CRC is folded over the bytes with a table that the polynomial's rule gives."""
+    key = "coalesce(CAST(doc_id AS VARCHAR), '')"
+    return f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], repeat([CAST(0 AS BIGINT)], 8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, len(h) // 2 + 8 AS size, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+    list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS text_crc32
+  FROM d, crc
+), p AS (
+  SELECT *, {_drawn(key, hash_tree.tree())} AS shard, {_drawn(key, hash_tree.tree(added=1))} AS grown_shard FROM c
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, grown_shard FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_ledger": _OP5, "op7_exact_dedup": _OP7}
+    return {"op5_secret_ledger": _OP5, "op6_hash_tree": _op6(), "op7_exact_dedup": _OP7}
