@@ -166,5 +166,23 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 """
 
 
+_OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), able AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b
+  ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reached AS (
+  SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT b, c FROM reached JOIN links ON node = a
+), groups AS (
+  SELECT node, min(c) AS component_id FROM reached GROUP BY node
+)
+SELECT node AS vec_id, (SELECT count(*) FROM links WHERE a = node) AS n_links, component_id, node = component_id AS kept FROM groups
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_ledger": _OP5, "op6_hash_tree": _op6(), "op7_exact_dedup": _OP7}
+    return {"op5_secret_ledger": _OP5, "op6_hash_tree": _op6(), "op7_exact_dedup": _OP7, "op10_cover_tree": _OP10}
