@@ -70,3 +70,17 @@ def test_signals_need_one_shuffle(p):
     df = supplier_risk.combine_signals(repeat, repeat, direct)
     text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     assert text.count("Exchange hashpartitioning") == 1 and "partial_max" in text
+
+
+def test_copies_alone_are_aggregated_whole(p):
+    """First-wins counts narrow keys with hashes; no plan sorts all wide rows to find copies."""
+    from tenderwatch.operators.scale import first_per_key
+
+    text = plan(first_per_key(p.raw, "id_del_proceso", ["fecha_adjudicacion", "id"]), "simple")
+    narrow = re.search(r"HashAggregate\(keys=\[id_del_proceso#\d+\], functions=\[partial_count\(1\)\]", text)
+    assert narrow and "LeftAnti" in text and "LeftSemi" in text
+
+
+def test_risk_needs_no_join(p):
+    text = plan(supplier_risk.combine_supplier_risk(*p.latest, DEFAULT_WEIGHTS), "simple")
+    assert "Join" not in text
