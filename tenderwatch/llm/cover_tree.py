@@ -30,10 +30,12 @@ BLOCK = 2048
 PIVOTS = 512
 PIVOT_SAMPLE = 4096
 #: a node with fewer vectors is not split
-LEAF = 12
+LEAF = 48
 #: room for rounding in bounds, which are in single precision; results never depend on it
 SLACK = 1e-3
 _STRIP = 256
+#: radii between which nodes are compared together
+_RADII = (0.01, 0.1, 0.25, 0.5)
 
 
 @dataclass
@@ -50,6 +52,7 @@ class Tree:
     end: np.ndarray = field(init=False)
     first: np.ndarray = field(init=False)
     children: np.ndarray = field(init=False)
+    _total: np.ndarray | None = None
 
     def normalise(self) -> None:
         raw = self.raw.astype(np.float64)
@@ -65,10 +68,10 @@ class Tree:
         while at < len(nodes):
             center, reach, members, _, _ = nodes[at]
             distance = np.sqrt(np.maximum(2 - 2 * near[center, members], 0))
-            actual = float(distance.max()) + SLACK / 8
-            nodes[at][1] = actual
-            if len(members) > LEAF and actual > SLACK:
-                while reach >= actual:
+            far = float(distance.max())
+            nodes[at][1] = far + SLACK
+            if len(members) > LEAF and far > 4 * SLACK:
+                while reach > 0.9 * far:  # so that the farthest member is left out, rounding or not
                     reach /= 2
                 nodes[at][3] = len(nodes)
                 rest, head = members, center
@@ -121,8 +124,13 @@ class Tree:
         tree.normalise()
         return tree
 
-    def total(self, node: int) -> int:
-        return int(self.weights[self.start[node] : self.end[node]].sum())
+    @property
+    def total(self) -> np.ndarray:
+        """Vectors in each node, copies included."""
+        if self._total is None:
+            running = np.concatenate(([0], np.cumsum(self.weights)))
+            self._total = running[self.end] - running[self.start]
+        return self._total
 
 
 _TREE = ", ".join(
@@ -142,34 +150,47 @@ class Walk:
         self.one: list[np.ndarray] = []
         self.two: list[np.ndarray] = []
         self.held = 0
-        self.whole: set[tuple[int, int]] = set()
+        #: per node, how many vectors link with all of the node
+        self.whole = (np.zeros(len(a.center), np.int64), np.zeros(len(b.center), np.int64))
         self.small = (a.unit.astype(np.float32), b.unit.astype(np.float32))
 
     def run(self) -> None:
-        stack = [(0, 0)]
+        stack = [*self._open(np.array([0]), np.array([0]), self.same)]
         while stack:
             p, q = stack.pop()
             ka, kb = self._opened(self.a, p), self._opened(self.b, q)
             if ka is None and kb is None:
-                self._leaves(p, q)
+                self._compare(*self._members(p, q), self.same and p == q)
                 continue
             ka = np.array([p]) if ka is None else ka
             kb = np.array([q]) if kb is None else kb
-            for at in range(0, len(ka), _STRIP):
-                stack.extend(self._open(ka[at : at + _STRIP], kb))
+            # Nodes of like radius go together, so that a few wide ones don't loosen the bound of all.
+            for some in self._alike(self.a, ka):
+                for others in self._alike(self.b, kb):
+                    for at in range(0, len(some), _STRIP):
+                        stack.extend(self._open(some[at : at + _STRIP], others, self.same and p == q))
+
+    @staticmethod
+    def _alike(tree: Tree, nodes: np.ndarray) -> list[np.ndarray]:
+        kind = np.searchsorted(_RADII, tree.radius[nodes])
+        return [nodes[kind == k] for k in np.unique(kind)]
+
+    def _members(self, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(self.a.start[p], self.a.end[p]), np.arange(self.b.start[q], self.b.end[q])
 
     @staticmethod
     def _opened(tree: Tree, node: int) -> np.ndarray | None:
         first, n = tree.first[node], tree.children[node]
         return np.arange(first, first + n) if n else None
 
-    def _open(self, ka: np.ndarray, kb: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _open(self, ka: np.ndarray, kb: np.ndarray, own: bool) -> Iterator[tuple[int, int]]:
+        """Settle pairs of these nodes, and yield those to be opened. ``own``: one set of nodes."""
         a, b = self.a, self.b
         near = self.small[0][a.center[ka]] @ self.small[1][b.center[kb]].T
         ra, rb = a.radius[ka], b.radius[kb]
         widest = np.minimum(ra + rb.max() + self.reach + SLACK, 2.0)
         i, j = np.nonzero(near >= (1 - widest * widest / 2 - SLACK)[:, None])
-        if self.same:
+        if own:
             i, j = i[ka[i] <= kb[j]], j[ka[i] <= kb[j]]
         distance = np.sqrt(np.maximum(2 - 2 * near[i, j].astype(np.float64), 0))
         spread = ra[i] + rb[j]
@@ -182,30 +203,38 @@ class Walk:
         leaves = (a.children[p] == 0) & (b.children[q] == 0) & ~inside
         if self.same:
             leaves &= p != q
-        for x, y in zip(p[inside].tolist(), q[inside].tolist()):
-            self._count_whole(x, y)
+        self._count_whole(p[inside], q[inside])
         yield from zip(p[~inside & ~leaves].tolist(), q[~inside & ~leaves].tolist())
-        # The leaves that meet one node are compared with it together.
+        # The leaves that meet one node are compared with it together, from the side of fewer nodes.
         p, q = p[leaves], q[leaves]
-        for x in np.unique(p).tolist():
-            met = q[p == x]
-            sizes = b.end[met] - b.start[met]
+        turned = len(np.unique(q)) < len(np.unique(p))
+        one, many = (q, p) if turned else (p, q)
+        tree, others = (b, a) if turned else (a, b)
+        by = np.argsort(one, kind="stable")
+        groups = np.split(many[by], np.flatnonzero(np.diff(one[by])) + 1) if len(one) else []
+        for x, met in zip(np.unique(one).tolist(), groups):
+            sizes = others.end[met] - others.start[met]
             inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self._compare(np.arange(a.start[x], a.end[x]), np.repeat(b.start[met], sizes) + inner)
-
-    def _count_whole(self, p: int, q: int) -> None:
-        a, b = self.a, self.b
-        sa, sb = slice(a.start[p], a.end[p]), slice(b.start[q], b.end[q])
-        if self.same and p == q:
-            self.counts[0][sa] += a.total(p) - a.weights[sa]
-        else:
-            self.counts[0][sa] += b.total(q)
-            self.counts[1][sb] += a.total(p)
-        for side, tree, node, part in ((0, a, p, sa), (0 if self.same else 1, b, q, sb)):
-            if (side, node) not in self.whole:
-                self.whole.add((side, node))
-                self._link(tree.ids[part], np.full(part.stop - part.start, tree.ids[tree.center[node]]))
-        self._link(a.ids[a.center[[p]]], b.ids[b.center[[q]]])
+            rows, columns = np.arange(tree.start[x], tree.end[x]), np.repeat(others.start[met], sizes) + inner
+            self._compare(*((columns, rows) if turned else (rows, columns)))
+
+    def _count_whole(self, p: np.ndarray, q: np.ndarray) -> None:
+        """All vectors of each ``p`` link with all of its ``q``."""
+        own = (p == q) if self.same else np.zeros(len(p), bool)
+        np.add.at(self.whole[0], p, self.b.total[q])
+        np.add.at(self.whole[0] if self.same else self.whole[1], q[~own], self.a.total[p[~own]])
+        for x in np.unique(p[own]).tolist():  # a vector does not link with itself
+            part = slice(self.a.start[x], self.a.end[x])
+            self.counts[0][part] -= self.a.weights[part]
+        self._link(self.a.ids[self.a.center[p]], self.b.ids[self.b.center[q]])
+
+    def _spread(self) -> None:
+        """Hand what holds for whole nodes down to their vectors."""
+        for tree, counts, whole in zip((self.a, self.b), self.counts, self.whole):
+            for x in np.nonzero(whole)[0].tolist():
+                part = slice(tree.start[x], tree.end[x])
+                counts[part] += whole[x]
+                self._link(tree.ids[part], np.full(part.stop - part.start, tree.ids[tree.center[x]]))
 
     def _link(self, one: np.ndarray, two: np.ndarray) -> None:
         if not len(one):
@@ -217,10 +246,6 @@ class Walk:
             x, y = forest(np.concatenate(self.one), np.concatenate(self.two))
             self.one, self.two, self.held = [x], [y], len(x)
 
-    def _leaves(self, p: int, q: int) -> None:
-        rows, columns = np.arange(self.a.start[p], self.a.end[p]), np.arange(self.b.start[q], self.b.end[q])
-        self._compare(rows, columns, self.same and p == q)
-
     def _compare(self, rows: np.ndarray, columns: np.ndarray, own: bool = False) -> None:
         """Cosines of two sets of vectors in double precision."""
         a, b = self.a, self.b
@@ -240,6 +265,7 @@ class Walk:
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Linked vectors with their counts, and a forest of links."""
+        self._spread()
         ids, counts = self.a.ids, self.counts[0]
         if not self.same:
             ids, counts = np.concatenate((ids, self.b.ids)), np.concatenate(self.counts)
