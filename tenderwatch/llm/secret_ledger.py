@@ -135,6 +135,9 @@ def findings(paths: DataFrame, ledger: str, rules: Sequence[Rule] = BASE_RULES)
     per_blob = hits.groupBy("blob").agg(
         *[F.first(F.when(F.col("rule") == r.key, F.col("spans")), ignorenulls=True).alias(r.kind) for r in rules]
     )
+    # Stored first: small findings are then broadcast, and the rows of a blob that very many paths
+    # share can be split, which they can't where the join takes over the aggregate's partitioning.
+    per_blob = settle(per_blob, "findings")
     none = F.array().cast("array<struct<start:long,end:long>>")
     joined = paths.join(per_blob, "blob", "left")
     return joined.select("doc_id", "blob", *[F.coalesce(r.kind, none).alias(r.kind) for r in rules])
