@@ -20,6 +20,8 @@ MEMO_CHARS = 48
 #: a special token of the file, and how many chunks it holds apart in one call
 MARK = "<|startoftext|>"
 _TOGETHER = 4096
+#: signs that may follow a word; never part of it
+_STOPS = ".,;:!?#%*$&|"
 #: id written after every document
 END_ID = 1
 
@@ -40,21 +42,49 @@ class ChunkEncoder:
         """NULL counts as empty."""
         chunked = [self._folded(t or "").replace("\n", " ").split(" ") for t in texts]
         missing = set().union(*chunked).difference(self._memo)
-        older = {c: self._older[c] for c in missing if c in self._older}
-        self._memo.update(older)
-        self._memo.update(self._encoded(missing.difference(older)))
+        self._learn(missing)
         out = [b"".join(map(self._memo.__getitem__, chunks)) for chunks in chunked]
         for chunk in missing:
             if len(chunk) > MEMO_CHARS:
                 del self._memo[chunk]
+                self._memo.pop(chunk.rstrip(_STOPS) or None, None)
         if len(self._memo) > MEMO_CHUNKS:
             self._older, self._memo = self._memo, {"": b""}
         return out
 
     @staticmethod
     def _folded(text: str) -> str:
-        """The tokenizer folds case; doing so before saves chunks. Its marks must not arise by it."""
-        return text.lower() if text.isascii() and "<|" not in text else text
+        """The tokenizer folds case; doing so before saves chunks.
+
+        Only where it can't change anything else: no marks may arise by it, and no letter may be one
+        that composes with another differently once it is small.
+        """
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember chunks: a word and the stops after it are encoded apart, as the tokenizer does."""
+        memo, older = self._memo, self._older
+        whole, parted = [], []
+        for c in chunks:
+            if (known := older.get(c)) is not None:
+                memo[c] = known
+                continue
+            stem = c.rstrip(_STOPS)
+            if stem and len(stem) < len(c) and stem[-1].isalnum():
+                parted.append((c, stem))
+            else:
+                whole.append(c)
+        stems = {x for c, stem in parted for x in (stem, c[len(stem) :])}
+        memo.update((x, older[x]) for x in stems if x in older)
+        memo.update(self._encoded({*whole, *(x for x in stems if x not in memo)}))
+        for c, stem in parted:
+            memo[c] = memo[stem] + memo[c[len(stem) :]]
 
     def _encoded(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """One call for many chunks, set apart by a mark that the tokenizer never merges across."""
