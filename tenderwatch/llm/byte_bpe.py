@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from tenderwatch.llm.common import Batches, in_python
 
-#: chunks remembered by one Python worker
-MEMO_CHUNKS = 300_000
+#: chunks remembered by one Python worker in each of two generations, about 300 bytes each
+MEMO_CHUNKS = 450_000
 #: longer chunks are encoded each time
 MEMO_CHARS = 48
 
@@ -122,6 +122,7 @@ class ByteBpe:
         self._pattern = regex.compile(pattern)
         self._ragged = regex.compile(r"\s\x20|\x20\s|^\x20|\x20$")
         self._memo: dict[str, tuple[str, int, bytes]] = {}
+        self._older: dict[str, tuple[str, int, bytes]] = {}
 
     def rank(self, piece: bytes) -> int:
         at = self._hash.get(piece)
@@ -134,29 +135,35 @@ class ByteBpe:
 
     def _merge(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of least rank, leftmost first, until no pair is an entry."""
-        ids: list[int] = [self._single[b] for b in piece]
-        n, pairs = len(ids), self._pairs
+        ids = [self._single[b] for b in piece]
+        n, pair = len(ids), self._pairs.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        # An entry is a rank and a place in one number, so the heap orders by rank, then from the left.
         heap = [
-            (rank, at, a, b)
+            rank << shift | at
             for at, (a, b) in enumerate(zip(ids, ids[1:]))
-            if (rank := pairs.get(a << 32 | b, -1)) >= 0
+            if (rank := pair(a << 32 | b, -1)) >= 0
         ]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            rank, at, a, b = heapq.heappop(heap)
+            entry = pop(heap)
+            at, rank = entry & mask, entry >> shift
             gone = after[at]
-            if gone < 0 or ids[at] != a or ids[gone] != b:
+            if gone < 0 or pair(ids[at] << 32 | ids[gone], -1) != rank:
                 continue  # one of its two parts has been merged since
             ids[at], ids[gone] = rank, -1
             then = after[at] = after[gone]
+            after[gone] = -1
             if then >= 0:
                 before[then] = at
-                if (new := pairs.get(rank << 32 | ids[then], -1)) >= 0:
-                    heapq.heappush(heap, (new, at, rank, ids[then]))
+                if (new := pair(rank << 32 | ids[then], -1)) >= 0:
+                    push(heap, new << shift | at)
             back = before[at]
-            if back >= 0 and (new := pairs.get(ids[back] << 32 | rank, -1)) >= 0:
-                heapq.heappush(heap, (new, back, ids[back], rank))
+            if back >= 0 and (new := pair(ids[back] << 32 | rank, -1)) >= 0:
+                push(heap, new << shift | back)
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> list[int]:
@@ -180,10 +187,14 @@ class ByteBpe:
         return [first, *[" " + x for x in rest]]
 
     def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        ids = self.encode(chunk)
-        done = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        """A chunk that the young generation of the memo lacks."""
+        done = self._older.get(chunk)
+        if done is None:
+            ids = self.encode(chunk)
+            done = (" ".join(map(str, ids)), len(ids), self.decode(ids))
         if len(chunk) <= MEMO_CHARS:
             if len(self._memo) >= MEMO_CHUNKS:
+                self._older = self._memo.copy()
                 self._memo.clear()
             self._memo[chunk] = done
         return done
