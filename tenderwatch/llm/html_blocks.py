@@ -33,6 +33,8 @@ _MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
+#: where the content of an element that holds no markup ends
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -84,13 +86,9 @@ def blocks(page: str, root: Path) -> list[Block]:
             parts.clear()
         state["linked"] = 0
 
-    stack, at, skip = [root], 0, ""
-    for m in _MARK.finditer(page):
-        if m.start() < at:
-            continue
-        if skip:
-            if not (m[1] or m[4]) or (m[2] or m[5]).lower() != skip:
-                continue
+    # Marks are looked for from ``after``: behind ``at`` by the content of an element without markup.
+    stack, at, after = [root], 0, 0
+    while m := _MARK.search(page, after):
         here = stack[-1]
         if m.start() > at and not here.unseen:
             piece = page[at : m.start()]
@@ -99,7 +97,7 @@ def blocks(page: str, root: Path) -> list[Block]:
             parts.append(piece)
             if here.linked:
                 state["linked"] += len(piece.strip())
-        at = m.end()
+        at = after = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -108,7 +106,6 @@ def blocks(page: str, root: Path) -> list[Block]:
         elif tag == "br":
             parts.append(" ")
         if m[1] or m[4]:
-            skip = ""
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -126,7 +123,11 @@ def blocks(page: str, root: Path) -> list[Block]:
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
         stack.append(stack[-1].child(tag, attributes))
-        skip = tag if tag in RAW else ""
+        if tag in RAW:
+            end = _RAW_END[tag].search(page, at)
+            if not end:
+                break
+            after = end.start()
     if at < len(page) and not stack[-1].unseen:
         if not parts:
             state["path"] = _holder(stack[-1])

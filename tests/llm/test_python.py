@@ -367,6 +367,14 @@ def test_blocks():
     assert texts_of("<div>" * 3000 + "deep") == ["deep"]
 
 
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){f(i)}", "<!-- f()", 'a="<b \'";', "if(a<b&&c>d)'", "</scripts>x</script", "x='</style>'"])
+def test_only_its_own_end_tag_ends_a_script(script):
+    assert texts_of(f"<p>a</p><script>{script}</script><p>b<p>c</p><script>g()</script>d") == ["a", "b", "c", "d"]
+    assert texts_of(f"<p>a<Script type=x>{script}</SCRIPT\n>b") == ["ab"]
+    assert texts_of(f"<textarea>{script}</textarea>b")[-1] == "b"
+    assert texts_of(f"a<style>p<{{}}</style >b<script>{script}") == ["ab"]
+
+
 def test_extraction_of_unseen_pages():
     crf = html_crf.model()
     right = total = 0
