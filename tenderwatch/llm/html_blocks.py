@@ -86,15 +86,21 @@ def blocks(page: str, root: Path) -> list[Block]:
             parts.clear()
         state["linked"] = 0
 
+    def add(piece: str) -> None:
+        """A block stands in the element of its first piece that is more than white space."""
+        if not parts:
+            if piece.isspace():
+                return
+            state["path"] = _holder(stack[-1])
+        parts.append(piece)
+
     # Marks are looked for from ``after``: behind ``at`` by the content of an element without markup.
     stack, at, after = [root], 0, 0
     while m := _MARK.search(page, after):
         here = stack[-1]
         if m.start() > at and not here.unseen:
             piece = page[at : m.start()]
-            if not parts:
-                state["path"] = _holder(here)
-            parts.append(piece)
+            add(piece)
             if here.linked:
                 state["linked"] += len(piece.strip())
         at = after = m.end()
@@ -104,7 +110,7 @@ def blocks(page: str, root: Path) -> list[Block]:
         if tag in BLOCKS:
             end_block()
         elif tag == "br":
-            parts.append(" ")
+            add(" ")
         if m[1] or m[4]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -129,9 +135,7 @@ def blocks(page: str, root: Path) -> list[Block]:
                 break
             after = end.start()
     if at < len(page) and not stack[-1].unseen:
-        if not parts:
-            state["path"] = _holder(stack[-1])
-        parts.append(page[at:])
+        add(page[at:])
     end_block()
     return found
 

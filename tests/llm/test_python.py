@@ -375,6 +375,13 @@ def test_only_its_own_end_tag_ends_a_script(script):
     assert texts_of(f"a<style>p<{{}}</style >b<script>{script}") == ["ab"]
 
 
+def test_a_leading_break_leaves_the_path_right():
+    page = "<nav><ul><li><a href=x>A</a></li></ul></nav><article><br>First<br>line</article><div class=ad> <br/> <b><br>Buy</b></div> <br>end"
+    found = blocks(page, Path(None, "", ()))
+    assert [(b.text, b.path.tag) for b in found] == [("A", "li"), ("First line", "article"), ("Buy", "div"), ("end", "")]
+    assert found[2].path.names == ("ad",)
+
+
 def test_extraction_of_unseen_pages():
     crf = html_crf.model()
     right = total = 0
