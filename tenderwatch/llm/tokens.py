@@ -46,7 +46,8 @@ class ChunkEncoder:
         out = [b"".join(map(self._memo.__getitem__, chunks)) for chunks in chunked]
         for chunk in missing:
             if len(chunk) > MEMO_CHARS:
-                del self._memo[chunk]
+                # a chunk may already be gone, as the stem of another
+                self._memo.pop(chunk, None)
                 self._memo.pop(chunk.rstrip(_STOPS) or None, None)
         if len(self._memo) > MEMO_CHUNKS:
             self._older, self._memo = self._memo, {"": b""}

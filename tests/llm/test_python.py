@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tenderwatch.llm import byte_bpe, common, cover_tree, html_crf, packing, simhash, token_files, toxicity
+from tenderwatch.llm import byte_bpe, common, cover_tree, html_crf, packing, simhash, token_files, tokens, toxicity
 from tenderwatch.llm.html_blocks import Path, blocks
 from tenderwatch.llm.labelled_pages import labelled_pages
 from tenderwatch.llm.queries import BYTE_BPE, WORD_BPE
@@ -43,6 +43,33 @@ def test_chunk_encoder_equals_the_library():
     assert ChunkEncoder(WORD_BPE).encode(texts) == want
 
 
+class Dealt(set):
+    """A set that hands out longer strings first, or last."""
+
+    longer_first = True
+
+    def difference(self, *others):
+        return sorted(set.difference(self, *others), key=len, reverse=self.longer_first)
+
+    def union(self, *others):
+        return type(self)(set.union(self, *others))
+
+
+class DealtLast(Dealt):
+    longer_first = False
+
+
+@pytest.mark.parametrize("dealt", [Dealt, DealtLast])
+def test_a_long_chunk_and_the_same_with_a_stop(monkeypatch, dealt):
+    monkeypatch.setattr(tokens, "set", dealt, raising=False)
+    texts = ["x" * 60 + " " + "x" * 60 + ".", "y" * 47 + "?! " + "y" * 47, "?" * 60 + " " + "z" * 60 + ".. " + "z" * 60 + "."]
+    want = [little(e.ids) for e in Tokenizer.from_file(WORD_BPE).encode_batch(texts, add_special_tokens=False)]
+    e = ChunkEncoder(WORD_BPE)
+    for _ in range(2):
+        assert e.encode(texts) == want and e.encode(texts[::-1]) == want[::-1]
+    assert max(map(len, e._memo)) <= tokens.MEMO_CHARS
+
+
 def test_token_files(spark, tmp_path):
     rows = awkward_rows() + [(2000 + i, t) for i, t in enumerate(ODD)]
     path = str(tmp_path / "tokens")
