@@ -12,6 +12,7 @@ filling is applied as often as the counts allow, so equal pieces cost one step t
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,12 +26,15 @@ from tenderwatch.llm.tokens import END_ID, encoder
 from tenderwatch.sources.storage import settle
 
 CAPACITY = 4096
-#: pieces in an enumerated filling beside the largest, fillings tried per branch, branches in all
+#: pieces in an enumerated filling beside the largest, fillings tried per branch, branches beyond
+#: the first descent, whose length grows with the different lengths; a descent begun is ended
 FILLING_PIECES = 4
 BRANCHING = 2
 NODES = 4_000
 #: steps of one enumeration of fillings
 STEPS = 24
+#: in a longer filling, a dominance test places each piece in one way only
+_DOMINANCE_PIECES = 8
 _DOCS = 256
 
 
@@ -99,11 +103,39 @@ def _best_fit(counts: np.ndarray, largest: int, capacity: int) -> list[int]:
     return filling
 
 
+def dominates(one: list[int], other: list[int]) -> bool:
+    """Whether ``other`` can be dealt into the pieces of ``one``: taking those first is never worse."""
+    if sum(other) > sum(one):
+        return False
+    pieces = sorted(other, reverse=True)
+
+    def deal(k: int, rooms: list[int]) -> bool:
+        if k == len(pieces):
+            return True
+        fit = sorted({r for r in rooms if r >= pieces[k]})
+        for room in fit:
+            left = list(rooms)
+            left[left.index(room)] -= pieces[k]
+            if deal(k + 1, left):
+                return True
+        return False
+
+    if len(pieces) <= _DOMINANCE_PIECES:
+        return deal(0, list(one))
+    rooms = sorted(one)
+    for x in pieces:
+        at = bisect_left(rooms, x)
+        if at == len(rooms):
+            return False
+        insort(rooms, rooms.pop(at) - x)
+    return True
+
+
 def fillings(counts: np.ndarray, largest: int, capacity: int, limit: int = BRANCHING) -> list[list[int]]:
     """Undominated fillings beside ``largest``, least waste first; ``counts`` excludes it.
 
     Larger pieces come first. A filling that leaves no room is not extended, and one that another
-    of less waste replaces piece by piece is not kept. The last two pieces of a filling are found
+    dominates is not kept. The last two pieces of a filling are found
     together by looking up which pairs of lengths fill the rest best. Best-fit comes along always.
     """
     room = capacity - largest
@@ -152,7 +184,13 @@ def fillings(counts: np.ndarray, largest: int, capacity: int, limit: int = BRANC
 
     if room and len(lengths):
         extend([], room, largest)
-    return [list(f) for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0])))[:limit]]
+    kept: list[list[int]] = []
+    for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]))):
+        if not any(dominates(k, list(f)) for k in kept):
+            kept.append(list(f))
+            if len(kept) == limit:
+                break
+    return kept
 
 
 def _apply(counts: np.ndarray, largest: int, filling: list[int]) -> Pattern:
@@ -171,7 +209,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
 
     Depth first, fillings of least waste first, so the first descent completes bins greedily and
     best-fit decreasing is the incumbent. A branch whose waste is so large that it can at best equal
-    the incumbent is cut; the search ends at the lower bound or after ``nodes`` steps.
+    the incumbent is cut. The search ends at the lower bound, or with the descent in which ``nodes``
+    steps beyond the first descent are reached; the first one ends at a whole solution or a cut,
+    whatever its length.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -190,8 +230,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
 
     path: list[tuple[Pattern, list[list[int]]]] = []
     used, tried = 0, 0
-    fresh = True
-    while fewest > bound and tried < nodes:
+    fresh, first = True, True
+    while fewest > bound:
         options: list[list[int]] = []
         if fresh and counts.any():
             largest = int(np.nonzero(counts)[0][-1])
@@ -205,8 +245,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
         if options and used - (-left // capacity) < fewest:
             pattern = _apply(counts, largest, options[0])
             path.append((pattern, options[1:]))
-            used, tried, fresh = used + pattern.times, tried + 1, True
+            used, tried, fresh = used + pattern.times, tried + (not first), True
             continue
+        first = False
+        if tried >= nodes:
+            break
         while path:
             pattern, others = path.pop()
             used -= pattern.times

@@ -174,6 +174,29 @@ def test_packing_beats_best_fit_where_it_wastes():
     assert sum(p.times for p in packing.plan({51: 1, 27: 1, 26: 3, 23: 3, 24: 1, 22: 1, 20: 1}, 100)) == 3
 
 
+def test_the_first_descent_is_whole_whatever_the_bound():
+    # best-fit decreasing needs 6 and 7 sequences
+    first = {13: 2, 10: 1, 19: 1, 22: 1, 20: 1, 23: 1, 16: 2, 18: 2, 26: 1, 29: 1}
+    assert sum(p.times for p in packing.plan(first, 50, nodes=0)) == 5
+    second = {4: 1, 10: 3, 7: 3, 9: 1, 5: 2, 11: 2, 8: 1, 12: 1}
+    assert sum(p.times for p in packing.plan(second, 20, nodes=0)) == 6
+
+
+def test_dominated_fillings_are_not_kept():
+    assert packing.dominates([10, 5], [6, 4, 5]) and packing.dominates([10], [9]) and packing.dominates([7], [])
+    assert packing.dominates([50, 3], [1] * 52) and not packing.dominates([50, 1], [2] * 26)
+    assert not packing.dominates([6, 4], [10]) and not packing.dominates([5, 5], [6, 3]) and not packing.dominates([8], [9])
+    assert packing.dominates([8, 7], [5, 4, 3, 3]) and not packing.dominates([8, 7], [5, 5, 5])
+    rng = random.Random(7)
+    for _ in range(200):
+        capacity = rng.randint(10, 60)
+        counts = np.bincount([rng.randint(1, capacity) for _ in range(20)], minlength=capacity + 1)
+        largest = int(np.nonzero(counts)[0][-1])
+        counts[largest] -= 1
+        found = packing.fillings(counts, largest, capacity, limit=50)
+        assert not any(packing.dominates(a, b) for a in found for b in found if a is not b)
+
+
 def bpe_reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTE_BPE, "rb"))}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
