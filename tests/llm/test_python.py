@@ -387,6 +387,18 @@ def test_sampling_the_classes_apart_changes_no_balance(spark):
     assert right >= 0.97 * len(rows)
 
 
+def test_a_repeated_id_does_not_outgrow_the_sample(spark):
+    rows, labels = toxic_docs(300)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    often = next(i for i, _, y in labels if y and zlib.crc32(str(i).encode()) % 5)
+    more = [rows[often]] * 400 + [(often, f"scum number {k}") for k in range(300)]
+    once = toxicity.training_rows(docs(spark, rows, clash=False), known).collect()
+    copies = toxicity.training_rows(docs(spark, rows + more[:400], clash=False), known).collect()
+    assert Counter(map(tuple, copies)) == Counter(map(tuple, once))
+    some = Counter(r["positive"] for r in toxicity.training_rows(docs(spark, rows + more, clash=False), known, 30).collect())
+    assert some == {True: 30, False: 30}
+
+
 def test_toxicity_without_positives(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(docs(spark), none).collect()} == {0}
