@@ -970,8 +970,10 @@ _LANDED = ["id_del_proceso", "entidad", "precio_base", "fecha_adjudicacion", "ni
 
 
 def _land(rows: DataFrame, landing: str) -> None:
-    """One landed file per call, so that the order of arrival is known."""
-    rows.select(*_LANDED).repartition(1).sortWithinPartitions(*_LANDED).write.mode("append").json(landing)
+    """Many landed files per call; all copies of a key lie in one of them, so that their order of arrival is known."""
+    key = F.when(F.col("id_del_proceso").isNull(), F.xxhash64(*_LANDED)).otherwise(F.xxhash64("id_del_proceso"))
+    files = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.select(*_LANDED).repartition(files, key).sortWithinPartitions(*_LANDED).write.mode("append").json(landing)
 
 
 def _streamed(p: Pipeline, splits: list[tuple[int, Column]]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every registered query against its SQL, run by DuckDB on the same tables."""
 
+import json
 import os
 import shutil
 import subprocess
@@ -8,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tenderwatch.plans import catalog, check_sql
@@ -56,3 +58,20 @@ def test_query(spark, duck, name):
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_notices_land_in_many_files_with_a_key_in_one(spark, tmp_path):
+    """Keys and rows without one spread; copies of a key stay together and in order."""
+    text = F.col("id").cast("string")
+    key = F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), (F.col("id") % 40).cast("string")))
+    rows = spark.range(400).select(key.alias("id_del_proceso"), *[text.alias(c) for c in catalog._LANDED[1:]])
+    catalog._land(rows, str(tmp_path / "landing"))
+    landed = spark.read.json(str(tmp_path / "landing")).withColumn("file", F.input_file_name())
+    assert landed.count() == 400
+    assert landed.where("id_del_proceso IS NULL").select("file").distinct().count() > 1
+    files = landed.where("id_del_proceso IS NOT NULL").groupBy("id_del_proceso").agg(F.count_distinct("file").alias("n"), F.first("file").alias("file"))
+    assert files.agg(F.max("n")).first()[0] == 1 and files.select("file").distinct().count() > 1
+    for file in (tmp_path / "landing").glob("part-*"):
+        found = [json.loads(line) for line in file.read_text().splitlines()]
+        found = [(r["id_del_proceso"], r["entidad"]) for r in found if "id_del_proceso" in r]
+        assert found == sorted(found)
