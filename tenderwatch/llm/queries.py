@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenderwatch.llm import (
     byte_bpe,
+    centroids,
     cover_tree,
+    divergence,
     exact_dedup,
     hash_tree,
     html_crf,
     packing,
     secret_ledger,
     simhash,
+    stable_search,
     token_files,
     toxicity,
 )
@@ -70,6 +73,18 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op11_skyband_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_stable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing,
@@ -82,6 +97,9 @@ def queries() -> dict[str, Query]:
         op8_simhash,
         op9_toxicity,
         op10_cover_tree,
+        op11_skyband_audit,
+        op12_ns_bounds,
+        op13_stable_search,
     )
     return {f.__name__: f for f in found}
 
@@ -184,5 +202,73 @@ SELECT node AS vec_id, (SELECT count(*) FROM links WHERE a = node) AS n_links, c
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents
+), u AS (SELECT r, lang, source, unnest(found) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM u JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sources AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (coalesce(total, 0) + 2 * v) AS BIGINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (lang_n + 2) // (lang_total + 2 * v) AS BIGINT) AS q
+  FROM sources s JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term) LEFT JOIN totals USING (lang, source)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _op12() -> str:
+    """The rounds one after another; distances, sums and quotients in integers."""
+    steps = []
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(f"""d{i} AS (
+  SELECT r, x, k, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i}
+), a{i} AS (
+  SELECT r, any_value(x) AS x, arg_min(k, d::HUGEINT * 1000 + k) AS k, min(d) AS d FROM d{i} GROUP BY r
+)""")
+        if i < centroids.ROUNDS:
+            steps.append(f"""m{i} AS (SELECT k, i, sum(x[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY k, i),
+c{i + 1} AS (
+  SELECT k, coalesce(any_value(moved), any_value(c)) AS c FROM c{i}
+  LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS moved FROM m{i} GROUP BY k) USING (k) GROUP BY k
+)""")
+    last = centroids.ROUNDS
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x AS c FROM v ORDER BY k LIMIT 16
+), {", ".join(steps)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (r) JOIN c{last} USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_ledger": _OP5, "op6_hash_tree": _op6(), "op7_exact_dedup": _OP7, "op10_cover_tree": _OP10}
+    return {
+        "op5_secret_ledger": _OP5,
+        "op6_hash_tree": _op6(),
+        "op7_exact_dedup": _OP7,
+        "op10_cover_tree": _OP10,
+        "op11_skyband_audit": _OP11,
+        "op12_ns_bounds": _op12(),
+    }

@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert [q.split("_")[0] for q in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.queries()] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
