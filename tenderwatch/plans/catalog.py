@@ -969,35 +969,49 @@ def upsert_merge(p: Pipeline) -> DataFrame:
 _LANDED = ["id_del_proceso", "entidad", "precio_base", "fecha_adjudicacion", "nit_entidad"]
 
 
-def _land(rows: DataFrame, landing: str) -> None:
+def _land(rows: DataFrame, landing: str, fmt: str = "JSON") -> None:
     """Many landed files per call; all copies of a key lie in one of them, so that their order of arrival is known."""
     key = F.when(F.col("id_del_proceso").isNull(), F.xxhash64(*_LANDED)).otherwise(F.xxhash64("id_del_proceso"))
     files = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.select(*_LANDED).repartition(files, key).sortWithinPartitions(*_LANDED).write.mode("append").json(landing)
+    options = {"JSON": {}, "CSV": {"header": True, "quote": '"', "escape": '"'}, "XML": {"rootTag": "rows", "rowTag": "row"}}[fmt]
+    dealt = rows.select(*_LANDED).repartition(files, key).sortWithinPartitions(*_LANDED)
+    dealt.write.mode("append").format(fmt.lower()).options(**options).save(landing)
 
 
-def _streamed(p: Pipeline, splits: list[tuple[int, Column]]) -> DataFrame:
+def _streamed(p: Pipeline, splits: list[tuple[int, Column, str]]) -> DataFrame:
     """Land and take in the notices of each split in turn, with a checkpoint per source."""
     target = scratch_path(p.spark, "stored")
-    places = {s: (scratch_path(p.spark, "landing"), scratch_path(p.spark, "offsets")) for s, _ in splits}
-    for source, condition in splits:
+    places = {s: (scratch_path(p.spark, "landing"), scratch_path(p.spark, "offsets")) for s, _, _ in splits}
+    for source, condition, fmt in splits:
         landing, checkpoint = places[source]
-        _land(p.arriving.where(condition), landing)
-        stream_ingest(p.spark, landing, target, checkpoint, source_id=source).awaitTermination()
+        _land(p.arriving.where(condition), landing, fmt)
+        stream_ingest(p.spark, landing, target, checkpoint, source, fmt).awaitTermination()
     return stored_notices(p.spark, target).select("fuente_id", "batch", *_LANDED)
 
 
 @query
 def stream_ingest_(p: Pipeline) -> DataFrame:
     """Two landings of one source, the second overlapping the first; what is stored of each."""
-    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01"), (1, F.lit(True))])
+    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01", "JSON"), (1, F.lit(True), "JSON")])
+
+
+@query
+def stream_ingest_csv(p: Pipeline) -> DataFrame:
+    """The same with CSV files."""
+    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01", "CSV"), (1, F.lit(True), "CSV")])
+
+
+@query
+def stream_ingest_xml(p: Pipeline) -> DataFrame:
+    """The same with XML files."""
+    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01", "XML"), (1, F.lit(True), "XML")])
 
 
 @query
 def stream_ingest_two_sources(p: Pipeline) -> DataFrame:
-    """Two sources with overlapping keys fill one store, each with its own checkpoint."""
+    """Two sources of different formats with overlapping keys fill one store, each with its own checkpoint."""
     late = F.col("fecha_adjudicacion") >= "1997-01-01"
-    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01"), (2, late)])
+    return _streamed(p, [(1, F.col("fecha_adjudicacion") < "1998-01-01", "JSON"), (2, late, "CSV")])
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,14 +12,32 @@ from tenderwatch.sources.manifest import Manifest
 from tenderwatch.sources.storage import exists
 
 
+#: what spreadsheets tell UTF-8 by, at the start of every exported file
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     """Semicolon CSV, every field quoted, quotes doubled, NULL as an empty field.
 
-    Written in parallel, one file per partition, each with a header.
+    Written in parallel, one file per partition that holds rows; each begins with a byte-order mark
+    and a header. The writer of CSV has no way to put a mark before the quote of the first header, so
+    lines are made here and written as text: the first of a partition carries mark and header. Without
+    any row there is one file of a header.
     """
-    rows.write.options(
-        sep=";", header=True, quoteAll=True, quote='"', escape='"', nullValue="", emptyValue=""
-    ).csv(path)
+
+    def quoted(value: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    spark = rows.sparkSession
+    names = ['"' + name.replace('"', '""') + '"' for name in rows.columns]
+    head = BYTE_ORDER_MARK + ";".join(names)
+    fields = [quoted(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))) for name in rows.columns]
+    # the low 33 bits count the rows of a partition
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    lines = rows.select(F.concat(F.when(first, F.lit(head + "\n")).otherwise(F.lit("")), F.concat_ws(";", *fields)).alias("value"))
+    if rows.isEmpty():
+        lines = spark.createDataFrame([(head,)], "value string").coalesce(1)
+    lines.write.options(maxRecordsPerFile=0).format("text").save(path)
 
 
 def write_by_month(rows: DataFrame, path: str, column: str) -> None:

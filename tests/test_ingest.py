@@ -81,6 +81,32 @@ def test_stream_two_runs(spark, tmp_path):
     assert run().count() == 4  # nothing new landed
 
 
+def _csv_text(rows):
+    names = sorted({n for r in rows for n in r})
+    return ",".join(names) + "\n" + "\n".join(",".join(r.get(n, "") for n in names) for r in rows) + "\n"
+
+
+def _xml_text(rows):
+    return "<rows>" + "".join("<row>" + "".join(f"<{n}>{v}</{n}>" for n, v in r.items()) + "</row>" for r in rows) + "</rows>"
+
+
+@pytest.mark.parametrize("fmt, write", [("CSV", _csv_text), ("XML", _xml_text)])
+def test_stream_of_any_format_restarts_from_its_checkpoint(spark, tmp_path, fmt, write):
+    landing, target = tmp_path / "in", str(tmp_path / "raw")
+    landing.mkdir()
+
+    def run():
+        stream_ingest(spark, str(landing), target, str(tmp_path / "offsets"), 3, fmt).awaitTermination()
+        return Counter((r["id_del_proceso"], r["entidad"]) for r in stored_notices(spark, target).collect())
+
+    for k in range(3):
+        (landing / f"a [{k}] {{x}}.dat").write_text(write([{"id_del_proceso": f"p{k}", "entidad": f"e{k}"}, {"entidad": "k"}]))
+    first = Counter({(f"p{k}", f"e{k}"): 1 for k in range(3)} | {(None, "k"): 3})
+    assert run() == first
+    (landing / "b.dat").write_text(write([{"id_del_proceso": "p1", "entidad": "later"}, {"id_del_proceso": "p9", "entidad": "new"}]))
+    assert run() == first + Counter({("p9", "new"): 1})
+
+
 def arrived(df):
     order = F.struct(F.current_timestamp().alias("at"), F.lit("f").alias("file"), F.lit(0).cast("long").alias("split"), F.monotonically_increasing_id().alias("row"))
     return df.withColumn("_arrival", order)
@@ -150,6 +176,49 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     }
 
 
+def bytes_read(spark):
+    return sum(x.getBytesRead() for x in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_csv_is_read_once(spark, tmp_path):
+    """Headers cost no second pass over the landed files, and a file may be read by many tasks."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    for k in range(3):
+        lines = [f"p{k}-{n},{'x' * 80},Buyer {n}" for n in range(20_000)]
+        (landing / f"{k}.csv").write_text("id_del_proceso,pad,entidad\n" + "\n".join(lines) + "\n\n")
+    (landing / "other.csv").write_text("entidad,unknown,id_del_proceso,precio_base\nBuyer,u,q1,7\nshort\n")
+    (landing / "headless.csv").write_text("nothing,known\n1,2\n")
+    size = sum(f.stat().st_size for f in landing.iterdir())
+    before = bytes_read(spark)
+    rows = scan_notices(spark, str(landing), "CSV")
+    # stored lines are compressed Parquet, read in part for the headers
+    assert bytes_read(spark) - before < 1.3 * size
+    found = {r["id_del_proceso"]: (r["entidad"], r["precio_base"]) for r in rows.where("NOT id_del_proceso LIKE 'p%'").collect()}
+    assert found == {"q1": ("Buyer", "7")}
+    assert rows.count() == 60_003 and rows.where("id_del_proceso IS NULL").count() == 2
+    assert rows.where("id_del_proceso = 'p1-19999'").first()["entidad"] == "Buyer 19999"
+
+
+def test_a_large_xml_file_is_shared_out(spark, tmp_path):
+    row = "<row>\n <id_del_proceso>p{0}</id_del_proceso><entidad> A &amp; &lt;{0} </entidad><urlproceso><url>http://x/{0}</url></urlproceso>\n</row>"
+    odd = "<row/> <row a='1' /><row a='b'><entidad>attr</entidad></row><rows><row\n><entidad>nested</entidad></row></rows>"
+    body = "".join(row.format(n) if n % 100 else odd for n in range(4000))
+    (tmp_path / "a.xml").write_text(f'<?xml version="1.0"?>\n<rows>\n{body}</rows>\n')
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        cut = scan_notices(spark, str(tmp_path), "XML")
+        assert cut.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+        rows = Counter(map(tuple, cut.drop("_arrival").collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    whole = scan_notices(spark, str(tmp_path), "XML", whole=True)
+    plain = spark.read.option("rowTag", "row").schema(S.LANDED_SCHEMA).xml(str(tmp_path))
+    assert rows == Counter(map(tuple, whole.drop("_arrival").collect())) == Counter(map(tuple, plain.collect()))
+    assert sum(rows.values()) == 3960 + 4 * 40
+
+
 def test_publication_window_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "by_month")
     days = spark.range(400).select("id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).cast("timestamp").alias("fecha_de_publicacion_del"))
@@ -171,10 +240,24 @@ def test_due_sources(spark):
 
 
 def test_export_format(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "q"; b', None)], "id int, name string, note string")
+    df = spark.createDataFrame([(1, 'a "q"; b', None), (2, "é\nline", "x")], 'id int, `na"me.x` string, note string')
     export_csv(df.coalesce(1), str(tmp_path / "out"))
-    text = next((tmp_path / "out").glob("*.csv")).read_text()
-    assert text.splitlines() == ['"id";"name";"note"', '"1";"a ""q""; b";""']
+    data = next((tmp_path / "out").glob("part-*")).read_bytes()
+    assert data.startswith(b'\xef\xbb\xbf"id";"na""me.x";"note"\n')
+    assert data.decode("utf-8-sig") == '"id";"na""me.x";"note"\n"1";"a ""q""; b";""\n"2";"é\nline";"x"\n'
+
+
+def test_every_exported_file_has_mark_and_header(spark, tmp_path):
+    df = spark.range(1000).select("id", F.concat(F.lit("ñ "), F.col("id").cast("string")).alias("name")).repartition(5)
+    export_csv(df.where("id % 7 > 0"), str(tmp_path / "out"))
+    files = [f.read_bytes() for f in (tmp_path / "out").glob("part-*")]
+    assert len(files) == 5 and all(f.startswith('\ufeff"id";"name"\n'.encode()) and f.count(b'"id"') == 1 for f in files)
+    back = spark.read.options(header=True, sep=";", quote='"', escape='"').csv(str(tmp_path / "out"))
+    assert back.columns == ["id", "name"]
+    want = [(str(i), f"ñ {i}") for i in range(1000) if i % 7]
+    assert sorted(map(tuple, back.collect())) == sorted(want)
+    export_csv(df.limit(0), str(tmp_path / "none"))
+    assert [f.read_bytes() for f in (tmp_path / "none").glob("part-*")] == ['\ufeff"id";"name"\n'.encode()]
 
 
 def test_run_store(spark, tmp_path):
