@@ -111,13 +111,16 @@ def _narrow(rows: DataFrame, brackets: DataFrame, split: bool) -> DataFrame:
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """First row of every key that is not NULL.
 
-    A narrow count finds the keys that occur more than once; all other rows pass as they are. Only
+    A narrow count finds the keys that occur more than once. They are stored, so their size is known:
+    where it is below Spark's threshold they are sent to the rows, which stay where they are. Only
     copies are aggregated whole, and they collapse on the map side, so a key that holds a third of
     all rows costs no more than any other. ``df`` is read three times: store it first.
     """
     rest = [c for c in df.columns if c != key and c not in order]
     known = df.where(F.col(key).isNotNull())
-    repeated = known.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    repeated = settle(known.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated-keys")
+    if repeated.isEmpty():
+        return known
     first = (
         known.join(repeated, key, "left_semi")
         .groupBy(key)

@@ -29,6 +29,7 @@ from tenderwatch.operators.scale import first_wins
 from tenderwatch.operators.search import ContractFilter, paginate
 from tenderwatch.plans.pipeline import NEW_RUN, NEW_TIME, Pipeline, pipeline
 from tenderwatch.sources import testdata
+from tenderwatch.sources.key_index import KeyIndex
 from tenderwatch.sources.readers import scan_notices
 from tenderwatch.sources.sinks import export_csv
 from tenderwatch.sources.storage import scratch_path
@@ -222,6 +223,27 @@ def insert_ignore(p: Pipeline) -> DataFrame:
     return ingest.insert_ignore(incoming, stored, _ARRIVAL)
 
 
+def _indexed(p: Pipeline) -> tuple[DataFrame, DataFrame]:
+    """Incoming notices, and the stored keys of their buckets by an index of three batches."""
+    incoming, stored = _arrivals(p)
+    index = KeyIndex(p.spark, scratch_path(p.spark, "keys"), S.PROCESS_KEY, bucket_keys=2000)
+    turn = F.pmod(F.xxhash64("id"), F.lit(3))
+    for n in range(3):
+        index.add(stored.where(turn == n), "w", n)
+    return incoming, index.near(incoming, p.spark.range(3).select(F.lit("w").alias("writer"), F.col("id").alias("batch")))
+
+
+@query
+def insert_ignore_indexed(p: Pipeline) -> DataFrame:
+    """Insert-ignore against the stored key index."""
+    return ingest.insert_ignore(*_indexed(p), _ARRIVAL)
+
+
+@query
+def conflict_anti_indexed(p: Pipeline) -> DataFrame:
+    return ingest.not_stored(*_indexed(p))
+
+
 @query
 def sync_result(p: Pipeline) -> DataFrame:
     incoming, stored = _arrivals(p)

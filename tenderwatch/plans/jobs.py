@@ -24,6 +24,8 @@ from tenderwatch.sources.sinks import RunStore
 from tenderwatch.sources.storage import scratch, settle
 from tenderwatch.streaming.ingest import add_batch, batches, rejects, stored_notices
 
+#: batches since the last run that are named one by one in a plan
+_NAMED_BATCHES = 1000
 _RUN = "run_id string, computed_at timestamp"
 RESULT_SCHEMAS = {
     "outlier_results": f"""contract_id bigint, grp string, field string, value double, q1 double, q3 double, iqr double,
@@ -213,19 +215,24 @@ class Monitor:
         return Manifest(self.spark, f"{self.root}/normalised_batches", "writer string, batch bigint, run string")
 
     def new_notices(self) -> DataFrame:
-        """Notices of batches that no run has covered: a choice of folders, no join of notices."""
+        """Notices of batches that no run has covered: a choice of folders, no join of notices.
+
+        Where very many batches have come since the last run, Spark chooses the folders by a join.
+        """
         listed = batches(self.spark, f"{self.root}/raw_notices").rows().select("writer", "batch")
         new = listed.join(self._covered.rows(), ["writer", "batch"], "left_anti")
-        names = [(r["writer"], r["batch"]) for r in new.collect()]
+        names = [(r["writer"], r["batch"]) for r in new.limit(_NAMED_BATCHES + 1).collect()]
         if not names:
             return self.raw_notices.limit(0)
-        wanted = F.struct("writer", "batch").isin([F.struct(F.lit(w), F.lit(b).cast("bigint")) for w, b in names])
         rows = self.spark.read.schema(self.raw_notices.schema).parquet(f"{self.root}/raw_notices")
+        if len(names) > _NAMED_BATCHES:
+            return rows.join(settle(new, "new-batches"), ["writer", "batch"], "left_semi").select(*rows.columns)
+        wanted = F.struct("writer", "batch").isin([F.struct(F.lit(w), F.lit(b).cast("bigint")) for w, b in names])
         return rows.where(F.col("writer").isin([w for w, _ in names]) & wanted)
 
     def _normalise(self, as_of: date | str, force: bool, run: str, started: datetime) -> Row:
         done = batches(self.spark, f"{self.root}/raw_notices").rows().select("writer", "batch")
-        done = done.withColumn("run", F.lit(run)).collect()
+        done = settle(done.withColumn("run", F.lit(run)), "covered")
         notices = settle(self.raw_notices if force else self.new_notices(), "notices")
         stamp = F.lit(started.replace(tzinfo=None)).cast("timestamp")
         issues = settle(normalise.record_issues(notices, as_of).withColumn("created_at", stamp), "issues")
@@ -245,7 +252,7 @@ class Monitor:
             else:
                 tables = {"contracts": actions.drop("action"), "issues": issues}
             self.store.write(tables, run, replace=force)
-        self._covered.replace(done)
+        self._covered.rewrite(done)
         return counts
 
     # --- detectors --------------------------------------------------------------------------

@@ -38,10 +38,15 @@ class Manifest:
         """The newest complete version; 0 before the first."""
         return max(self._versions(), default=0)
 
-    def replace(self, entries: list) -> None:
-        """Exactly these entries from now on; rows with the table's fields in order."""
-        rows = self.spark.createDataFrame([tuple(e) for e in entries], self.schema)
-        self._write(rows, self._versions())
+    def rewrite(self, rows: DataFrame, after: int | None = None) -> None:
+        """Exactly these rows from now on. ``after`` as in ``put``."""
+        versions = self._versions()
+        self._unchanged(versions, after)
+        self._write(rows.select(*self.schema.fieldNames()), versions)
+
+    def _unchanged(self, versions: list[int], after: int | None) -> None:
+        if after is not None and after != (versions[-1] if versions else 0):
+            raise RuntimeError(f"another job has changed {self.path} meanwhile; repeat this one")
 
     def _write(self, rows: DataFrame, versions: list[int]) -> None:
         current = versions[-1] if versions else 0
@@ -55,9 +60,7 @@ class Manifest:
         ``after`` is the version that the job has read: if another one has come since, it fails.
         """
         versions = self._versions()
-        current = versions[-1] if versions else 0
-        if after is not None and after != current:
-            raise RuntimeError(f"another job has changed {self.path} meanwhile; repeat this one")
+        self._unchanged(versions, after)
         new = self.spark.createDataFrame([[entry[f.name] for f in self.schema.fields]], self.schema)
         kept = self.rows().join(new.select(*key), key, "left_anti").select(*self.schema.fieldNames())
         self._write(kept.unionByName(new), versions)

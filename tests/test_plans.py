@@ -73,12 +73,17 @@ def test_signals_need_one_shuffle(p):
 
 
 def test_copies_alone_are_aggregated_whole(p):
-    """First-wins counts narrow keys with hashes; no plan sorts all wide rows to find copies."""
+    """Keys with copies are stored and sent to the wide rows, which only move where they are copies."""
     from tenderwatch.operators.scale import first_per_key
 
-    text = plan(first_per_key(p.raw, "id_del_proceso", ["fecha_adjudicacion", "id"]), "simple")
-    narrow = re.search(r"HashAggregate\(keys=\[id_del_proceso#\d+\], functions=\[partial_count\(1\)\]", text)
-    assert narrow and "LeftAnti" in text and "LeftSemi" in text
+    order = ["fecha_adjudicacion", "id", "nit_entidad", "valor_total_adjudicacion"]
+    few = p.arriving.where("id % 50 = 0").unionByName(p.arriving.limit(40)).select("id_del_proceso", *order, "entidad")
+    found = first_per_key(few, "id_del_proceso", order)
+    final = plan(found, "simple").split("== Initial Plan ==")[0]
+    assert "LeftAnti" in final and "LeftSemi" in final and "BroadcastHashJoin" in final
+    assert "SortMergeJoin" not in final and final.count("Exchange hashpartitioning") == 1
+    once = first_per_key(p.raw, "id_del_proceso", ["id"])  # no copies: nothing moves at all
+    assert "Exchange" not in plan(once, "simple")
 
 
 def test_risk_needs_no_join(p):
