@@ -113,12 +113,12 @@ class Tree:
     _PARTS = ("ids", "weights", "center", "radius", "start", "end", "first", "children")
 
     def pack(self) -> dict[str, list | bytes]:
-        return {k: getattr(self, k).tolist() for k in self._PARTS} | {"raw": self.raw.astype("<f4").tobytes()}
+        return {k: getattr(self, k).tolist() for k in self._PARTS} | {"raw": self.raw.tobytes()}
 
     @classmethod
-    def unpack(cls, row: dict) -> Tree:
+    def unpack(cls, row: dict, kind: str = "<f4") -> Tree:
         ids = np.array(row["ids"], np.int64)
-        tree = cls(ids, np.array(row["weights"], np.int64), np.frombuffer(row["raw"], "<f4").reshape(len(ids), -1))
+        tree = cls(ids, np.array(row["weights"], np.int64), np.frombuffer(row["raw"], kind).reshape(len(ids), -1))
         for k in cls._PARTS[2:]:
             setattr(tree, k, np.array(row[k], np.float64 if k == "radius" else np.int64))
         tree.normalise()
@@ -252,7 +252,8 @@ class Walk:
         near = a.unit[rows] @ b.unit[columns].T
         linked = near >= self.cosine
         for i, j in zip(*np.nonzero(np.abs(near - self.cosine) < 1e-12)):
-            u, v = a.raw[rows[i]].astype(np.float64), b.raw[columns[j]].astype(np.float64)
+            # by a power of two, which changes no digit and lets no product overflow
+            u, v = (np.ldexp(x, -np.frexp(np.abs(x).max())[1]) for x in (a.raw[rows[i]].astype(np.float64), b.raw[columns[j]].astype(np.float64)))
             linked[i, j] = np.dot(u, v) / (np.sqrt(np.dot(u, u)) * np.sqrt(np.dot(v, v))) >= self.cosine
         if own:
             linked = np.triu(linked, 1)
@@ -320,13 +321,13 @@ def _assign(pivots: dict[int, np.ndarray]):
 def _grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("id")
     tree = Tree(
-        rows["id"].to_numpy(np.int64), rows["weight"].to_numpy(np.int64), np.stack(rows["embedding"]).astype(np.float32)
+        rows["id"].to_numpy(np.int64), rows["weight"].to_numpy(np.int64), np.stack(rows["embedding"])
     )
     tree.build()
     return pd.DataFrame([{"dim": key[0], "cell": key[1], "part": key[2]} | tree.pack()])
 
 
-def _walk(cosine: float):
+def _walk(cosine: float, kind: str):
     names = [*Tree._PARTS, "raw"]
 
     def task(batches: Batches) -> Batches:
@@ -334,11 +335,11 @@ def _walk(cosine: float):
             n = len(names)
             for row in range(batch.num_rows):
                 values = [batch.column(i)[row].as_py() for i in range(n)]
-                a = Tree.unpack(dict(zip(names, values)))
+                a = Tree.unpack(dict(zip(names, values)), kind)
                 if batch.column(2 * n)[row].as_py():
                     b = a
                 else:
-                    b = Tree.unpack(dict(zip(names, [batch.column(n + i)[row].as_py() for i in range(n)])))
+                    b = Tree.unpack(dict(zip(names, [batch.column(n + i)[row].as_py() for i in range(n)])), kind)
                 walk = Walk(a, b, cosine)
                 walk.run()
                 ids, counts, one, two = walk.found()
@@ -377,7 +378,8 @@ def pair_work(points: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
     """
     spark = points.sparkSession
     pivots = _pivots(points, block)
-    schema = "id long, dim int, embedding array<float>, weight long, cell int, away double"
+    vectors = points.schema["embedding"].dataType.simpleString()
+    schema = f"id long, dim int, embedding {vectors}, weight long, cell int, away double"
     placed = settle(in_python(points, _assign(pivots), schema), "placed")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     blocks = placed.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -402,7 +404,7 @@ def pair_work(points: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
     both = both.select(
         *[f"{c}_a" for c in order], *order, F.expr("cell_a = cell AND part_a = part").alias("same")
     )
-    return settle(in_python(both, _walk(cosine), "a long, b long, n long"), "pair-work")
+    return settle(in_python(both, _walk(cosine, "<f4" if vectors == "array<float>" else "<f8"), "a long, b long, n long"), "pair-work")
 
 
 def near_groups(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -415,26 +417,33 @@ def near_groups(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
     with nothing and has no component. Rows that repeat an id each count. An empty table gives an
     empty result; other columns are never read.
     """
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = embeddings.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     able = rows.where(F.col("vec_id").isNotNull() & usable())
     points = settle(
         able.groupBy("embedding")
-        .agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
-        .select(F.col("id").cast("long").alias("id"), F.size("embedding").alias("dim"), "embedding", "weight"),
+        .agg(F.min("vec_id").cast("long").alias("first"), F.count(F.lit(1)).alias("weight"))
+        .select(F.monotonically_increasing_id().alias("id"), F.size("embedding").alias("dim"), "embedding", "weight", "first"),
         "points",
     )
-    work = pair_work(points, cosine, block)
+    # a vector, not an id, is a point: rows that repeat an id may have different vectors
+    work = pair_work(points.drop("first"), cosine, block)
     counts = work.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     tied = components(work.where("b IS NOT NULL").select("a", "b"))
-    of = (
+    linked_points = settle(
         points.join(counts, "id", "left")
         .join(tied.withColumnRenamed("node", "id"), "id", "left")
         .select(
             "embedding",
+            "first",
             (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-        )
+            F.coalesce("component", "id").alias("group"),
+        ),
+        "linked-points",
     )
+    smallest = settle(linked_points.groupBy("group").agg(F.min("first").alias("component_id")), "smallest-ids")
+    of = linked_points.join(smallest, "group").select("embedding", "n_links", "component_id")
     linked = able.join(settle(of, "vector-groups"), "embedding").drop("embedding")
     alone = rows.where(~(F.col("vec_id").isNotNull() & usable())).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id")

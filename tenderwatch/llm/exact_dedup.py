@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     tally = tally.select(F.col("doc_id").alias("_tw_id"), F.col("text_sha256").alias("_tw_kept"), "_tw_rows")
     marked = docs.withColumn("_tw_sha", F.sha2(normalised(F.col("text")), 256))
     same = F.col("doc_id").eqNullSafe(F.col("_tw_id")) & (F.col("_tw_sha") == F.col("_tw_kept"))
-    once = docs.columns
+    once = [F.col(f"`{c}`") for c in docs.columns]
     single = marked.join(tally.where("_tw_rows = 1"), same, "left_semi").select(*once)
     repeated = marked.join(tally.where("_tw_rows > 1"), same, "left_semi")
     return single.unionByName(repeated.dropDuplicates(["doc_id", "_tw_sha"]).select(*once))

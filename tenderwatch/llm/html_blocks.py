@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 # Element kinds of the HTML standard.
@@ -29,10 +30,13 @@ IMPLIED = {
 }
 ENDS_P = BLOCKS - {"option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 
-_MARK = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+#: elements that may stand in a head; any other start tag, or text, ends it
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
+#: elements of another language, in which a slash does end a start tag
+FOREIGN = ("svg", "math")
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TURN = re.compile(r"""[>"']""")
 #: where the content of an element that holds no markup ends
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -43,13 +47,21 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Path:
     """An element and its ancestors; equal paths are one object, so that features can be kept."""
 
-    __slots__ = ("parent", "tag", "names", "below", "unseen", "linked", "features")
+    __slots__ = ("parent", "tag", "names", "below", "unseen", "linked", "holder", "known", "marks", "features")
 
     def __init__(self, parent: Path | None, tag: str, names: tuple[str, ...]):
         self.parent, self.tag, self.names = parent, tag, names
         self.below: dict[tuple[str, str], Path] = {}
         self.unseen: bool = tag in UNSEEN or bool(parent and parent.unseen)
         self.linked: bool = tag == "a" or bool(parent and parent.linked)
+        #: the nearest block element, itself included
+        self.holder: Path = self if parent is None or tag in BLOCKS else parent.holder
+        #: tags and names of the path, each once; shared with the parent where nothing is new
+        own = [f"in={tag}"] * bool(tag) + [f"name={x}" for x in names]
+        self.known: frozenset[str] = parent.known if parent else frozenset()
+        self.marks: tuple[str, ...] = parent.marks if parent else ()
+        if new := [x for x in dict.fromkeys(own) if x not in self.known]:
+            self.known, self.marks = self.known.union(new), (*self.marks, *new)
         #: what the path adds to a block's score, once it has been computed
         self.features: float | None = None
 
@@ -72,11 +84,94 @@ class Block:
     linked: int
 
 
+class Marks:
+    """Tags, comments and declarations of a page, one after another, in time linear in its length.
+
+    What has once been looked for in vain up to the end of the page is not looked for again: a ``>``,
+    a quote of either kind, and the end of a tag behind a quote.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self._last = {q: page.rfind(q) for q in (">", '"', "'")}
+        #: quotes outside of which no ``>`` follows
+        self._endless: set[int] = set()
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, tag, whether it is an end tag, and attributes; the tag is empty for others."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if start > self._last[">"]:  # only a comment may still come
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            closing = page.startswith("/", start + 1)
+            name = _NAME.match(page, start + 1 + closing)
+            if name:
+                end = self._tag_end(name.end())
+                return start, end + 1, name[0].lower(), closing, page[name.end() : end]
+            if page.startswith(("!", "?"), start + 1):
+                return start, page.index(">", start) + 1, "", False, ""
+            at = start + 1
+        return None
+
+    def _tag_end(self, at: int) -> int:
+        """The ``>`` outside quotes; the next one at all where a quote is never closed."""
+        page, opened, look = self.page, [], at
+        while turn := _TURN.search(page, look):
+            where, sign = turn.start(), turn[0]
+            if sign == ">":
+                return where
+            opened.append(where)
+            if where in self._endless or where >= self._last[sign]:
+                break
+            look = page.index(sign, where + 1) + 1
+        self._endless.update(opened)
+        return page.index(">", at)
+
+
+class Open:
+    """The open elements, innermost last, with the places of each kind."""
+
+    def __init__(self, root: Path):
+        self.stack = [root]
+        self._places: dict[str, list[int]] = {}
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+
+    def push(self, path: Path) -> None:
+        self._places.setdefault(path.tag, []).append(len(self.stack))
+        self.stack.append(path)
+
+    def cut(self, place: int) -> None:
+        """End the element at a place and all that it holds."""
+        while len(self.stack) > place > 0:
+            self._places[self.stack.pop().tag].pop()
+
+    def close(self, tags: set[str], limits: set[str], all_of_them: bool = False) -> None:
+        """End the innermost open element of these tags, or all, up to the nearest limit."""
+        while (place := self.last(tags)) > self.last(limits):
+            self.cut(place)
+            if not all_of_them:
+                return
+
+
 def blocks(page: str, root: Path) -> list[Block]:
-    """The page's blocks that hold text, in order. White space in a block is one blank; trimmed."""
+    """The page's blocks that hold text, in order. White space in a block is one blank; trimmed.
+
+    Pages of any length and with any errors in them take time in proportion to their length.
+    """
     found: list[Block] = []
     parts: list[str] = []
     state = {"linked": 0, "path": root}
+    elements = Open(root)
+    stack = elements.stack
 
     def end_block() -> None:
         if parts:
@@ -91,69 +186,52 @@ def blocks(page: str, root: Path) -> list[Block]:
         if not parts:
             if piece.isspace():
                 return
-            state["path"] = _holder(stack[-1])
+            state["path"] = stack[-1].holder
         parts.append(piece)
 
-    # Marks are looked for from ``after``: behind ``at`` by the content of an element without markup.
-    stack, at, after = [root], 0, 0
-    while m := _MARK.search(page, after):
-        here = stack[-1]
-        if m.start() > at and not here.unseen:
-            piece = page[at : m.start()]
+    def see(piece: str) -> None:
+        if stack[-1].tag == "head" and not piece.isspace():
+            elements.cut(len(stack) - 1)
+        if not stack[-1].unseen:
             add(piece)
-            if here.linked:
+            if stack[-1].linked:
                 state["linked"] += len(piece.strip())
-        at = after = m.end()
-        tag = (m[2] or m[5] or "").lower()
+
+    # Marks are looked for from ``after``: behind ``at`` by the content of an element without markup.
+    marks, at, after = Marks(page), 0, 0
+    while mark := marks.next(after):
+        start, end, tag, closing, attributes = mark
+        if start > at:
+            see(page[at:start])
+        at = after = end
         if not tag:
             continue
         if tag in BLOCKS:
             end_block()
         elif tag == "br":
             add(" ")
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            elements.cut(elements.last((tag,)))
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            elements.cut(len(stack) - 1)
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            _close(stack, {"p"}, {"table", "td", "th", "button", "object"})
+            elements.close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in IMPLIED:
-            _close(stack, *IMPLIED[tag])
+            elements.close(*IMPLIED[tag], all_of_them=len(IMPLIED[tag][0]) > 1)
         if tag == "body":
-            _close(stack, {"head"}, {"html"})
-        attributes = m[3] or m[6] or ""
-        if attributes.endswith("/") and tag not in BLOCKS:
+            elements.close({"head"}, {"html"})
+        if attributes.endswith("/") and (tag in FOREIGN or elements.last(FOREIGN)):
             continue
-        stack.append(stack[-1].child(tag, attributes))
+        elements.push(stack[-1].child(tag, attributes))
         if tag in RAW:
-            end = _RAW_END[tag].search(page, at)
-            if not end:
+            close = _RAW_END[tag].search(page, at)
+            if not close:
                 break
-            after = end.start()
-    if at < len(page) and not stack[-1].unseen:
-        add(page[at:])
+            after = close.start()
+    if at < len(page):
+        see(page[at:])
     end_block()
     return found
-
-
-def _holder(path: Path) -> Path:
-    """The nearest block element, itself included."""
-    while path.parent and path.tag not in BLOCKS:
-        path = path.parent
-    return path
-
-
-def _close(stack: list[Path], tags: set[str], limits: set[str]) -> None:
-    """End the innermost open element of these tags, and what it holds, unless a limit is nearer."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in limits:
-            return
-        if stack[k].tag in tags:
-            del stack[k:]
-            if not tags - {"p", "li", "head", "option"}:
-                return
-            return _close(stack, tags, limits)

@@ -33,14 +33,7 @@ _STOPS = (".", "!", "?", "…", ":", ";", '"', "»", "”")
 
 def path_features(path: Path) -> list[str]:
     """Own tag, and tags and names of all ancestors, one by one."""
-    found = [f"tag={path.tag}"]
-    at: Path | None = path
-    while at is not None:
-        if at.tag:
-            found.append(f"in={at.tag}")
-            found += [f"name={x}" for x in at.names]
-        at = at.parent
-    return list(dict.fromkeys(found))
+    return [f"tag={path.tag}", *path.marks]
 
 
 def text_features(block: Block) -> list[str]:

@@ -147,16 +147,33 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     firsts = rooted.groupBy("group").agg(F.min("first_id").alias("component_id"))
     named = settle(rooted.join(firsts, "group").select("fp", "component_id"), "groups")
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", _in_hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
-    Rows without an id are never dropped here.
+    Rows without an id are never dropped here. Where rows of one id have texts of different groups,
+    each row is judged by its own text.
     """
-    dropped = (
-        near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_tw_drop")).distinct()
-    )
-    return docs.join(dropped, F.col("doc_id") == F.col("_tw_drop"), "left_anti")
+    groups = settle(near_groups(docs), "near-groups")
+    lesser = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_tw_id"), F.col("fingerprint").alias("_tw_print")).distinct()
+    kinds = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.countDistinct("fingerprint").alias("n"))
+    several = settle(kinds.where("n > 1").select(F.col("doc_id").alias("_tw_id")), "ids-of-several-texts")
+    if several.isEmpty():
+        return docs.join(lesser, F.col("doc_id") == F.col("_tw_id"), "left_anti")
+    same_id = F.col("doc_id") == F.col("_tw_id")
+    plain = docs.join(several, same_id, "left_anti").join(lesser, same_id, "left_anti")
+    doubtful = docs.join(several, same_id, "left_semi").withColumn("_tw_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = doubtful.select(F.col("_tw_sha").alias("_tw_of"), "text").dropDuplicates(["_tw_of"])
+    texts = settle(texts.withColumn("doc_id", F.monotonically_increasing_id()), "doubtful-texts")
+    prints = fingerprints(texts.select("doc_id", "text")).select("doc_id", _in_hex(F.col("fp")).alias("_tw_is"))
+    prints = texts.select("doc_id", "_tw_of").join(prints, "doc_id").drop("doc_id")
+    judged = doubtful.join(prints, F.col("_tw_sha") == F.col("_tw_of"))
+    kept = judged.join(lesser, same_id & (F.col("_tw_is") == F.col("_tw_print")), "left_anti")
+    return plain.unionByName(kept.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _in_hex(fingerprint: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))

@@ -248,15 +248,20 @@ def distinct_points(rows: DataFrame, k: int) -> DataFrame:
     return settle(points, "points")
 
 
-def _norm(c: Column) -> Column:
-    most = F.array_max(F.transform(c, lambda v: F.abs(v.cast("double"))))
-    return most * F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + (v.cast("double") / most) * (v.cast("double") / most)))
+def _norms(batches: Batches) -> Batches:
+    """Number of vectors and largest norm, per length."""
+    for batch in batches:
+        for dim, rows, x in _by_dim(batch, 0, 1):
+            most = np.abs(x).max(1)
+            norm = (most * np.sqrt(((x / most[:, None]) ** 2).sum(1))).max()
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(rows)]), pa.array([norm])], ["dim", "n", "norm"])
 
 
 def spaces(points: DataFrame, block: int = BLOCK) -> dict[int, Space]:
     """One space per length of vectors; at most ``SAMPLE`` vectors of each come to the driver."""
     found = {}
-    sizes = points.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(_norm(F.col("embedding"))).alias("norm")).collect()
+    sizes = in_python(points.select("dim", "embedding"), _norms, "dim int, n long, norm double")
+    sizes = sizes.groupBy("dim").agg(F.sum("n").alias("n"), F.max("norm").alias("norm")).collect()
     for dim, n, norm in sorted(map(tuple, sizes)):
         norm = min(norm, np.finfo(float).max / 4)
         scale = 2.0 ** math.ceil(math.log2(norm))

@@ -77,7 +77,9 @@ class ChunkEncoder:
                 memo[c] = known
                 continue
             stem = c.rstrip(_STOPS)
-            if stem and len(stem) < len(c) and stem[-1].isalnum():
+            # the tokenizer lower-cases: a letter that becomes a letter and a mark goes with the stops
+            last = stem[-1:].lower()
+            if len(stem) < len(c) and len(last) == 1 and stem[-1].isalnum() and last.isalnum():
                 parted.append((c, stem))
             else:
                 whole.append(c)

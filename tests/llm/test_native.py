@@ -56,6 +56,12 @@ def test_keep_one(spark):
     assert got == Counter((i, t) for t, i in last.items())
 
 
+def test_keep_one_with_dotted_columns(spark):
+    df = docs(spark, [(1, "a"), (2, "A"), (3, None), (3, None)]).withColumn("x.y", F.lit(1))
+    kept = exact_dedup.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
 def test_empty_tables(spark, tmp_path):
     nothing = empty(spark)
     assert exact_dedup.exact_groups(nothing).count() == exact_dedup.keep_one(nothing).count() == 0

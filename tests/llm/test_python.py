@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -269,6 +270,13 @@ def test_simhash(spark):
     assert kept == {known[i][0] for i in range(len(known)) if root[i] == i} | {None}
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    a, b = "one two three four five six seven eight", "red green blue black white brown grey pink"
+    rows = [(1, a), (5, a), (5, b), (7, "something else entirely is written here"), (7, "something else entirely is written here")]
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect())
+    assert kept == Counter([rows[0], rows[2], rows[3], rows[4]])
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1300)] + [(7, 7), (2000, 1299), (2000, 2001)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -318,6 +326,14 @@ def test_cover_tree(spark, block):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == want and len(found) == len(rows)
 
 
+def test_cover_tree_by_vector_and_in_double(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.1, 0.0]), (7, [0.1, 1.0, 0.0]), (3, [0.0, 0.0, 2.0])]
+    rows += [(10, [1e200, 0.0]), (11, [1e200, 1e199]), (12, [0.9 + 1e-12, math.sqrt(1 - 0.81)]), (13, [1.0, 0.0])]
+    found = cover_tree.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect())
+    assert got == [(3, 0, 3), (5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (10, 3, 10), (11, 3, 10), (12, 3, 10), (13, 3, 10)]
+
+
 @pytest.mark.parametrize("spread", [1e-9, 1e-3, 0.02, 0.06])
 def test_walk_of_dense_groups(spread):
     rng = np.random.default_rng(8)
@@ -378,15 +394,75 @@ def test_toxicity(spark):
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(r["doc_id"] for r in found if not r["predicted"])
 
 
-def test_sampling_the_classes_apart_changes_no_balance(spark):
-    """With far more clean rows than the sample takes, toxic text still scores high."""
+def test_labelled_clean_rows_count_for_nothing(spark):
+    """Unlabelled text is drawn whatever the labels say; with a given prior only confirmed rows matter."""
     rows, labels = toxic_docs(900)
-    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs(spark, rows, clash=False), known, sample_rows=80)
-    right = sum((model.score(t) >= 0.5) == bool(y) for (_, t), (_, _, y) in zip(rows, labels))
+    kind = "doc_id long, quality int, toxic int"
+    df = docs(spark, rows, clash=False)
+    some = [x for x in labels if x[2] and x[0] % 2]
+    whole, bare = (toxicity.fit(df, spark.createDataFrame(x, kind), prior=0.2) for x in (some + [x for x in labels if not x[2]], some))
+    assert whole == bare
+    # half the toxic documents are unconfirmed, and still found
+    right = sum((bare.score(t) >= 0.5) == bool(y) for (_, t), (_, _, y) in zip(rows, labels))
     assert right >= 0.97 * len(rows)
 
 
+def brute_nnpu(texts, confirmed, prior, steps=1500, rate=0.1, l2=2e-4):
+    """The same learning with dense tables and the risk written out."""
+    p, u = [toxicity.features(t) for t in confirmed], [toxicity.features(t) for t in texts]
+    z = {}
+    for f in {f for x in p + u for f in x}:
+        a, b = (np.array([x.get(f, 0.0) for x in rows]) for rows in (p, u))
+        z[f] = abs(a.mean() - b.mean()) / math.sqrt(((b * b).mean() - b.mean() ** 2) / len(p) + 1e-9)
+    names = sorted((f for f in z if z[f] >= toxicity.LEAST_Z), key=lambda f: (-z[f], f))[: toxicity.MAX_FEATURES]
+    xp, xu = (np.array([[x.get(f, 0.0) for f in names] + [1.0] for x in rows]) for rows in (p, u))
+    w = np.zeros(len(names) + 1)
+    m, v, decay, clamped = w.copy(), w.copy(), np.array([l2] * len(names) + [0.0]), 0
+    for t in range(1, steps + 1):
+        sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
+        negative = -np.log1p(1e-12 - su).mean() + prior * np.log1p(1e-12 - sp).mean()
+        of_negative = (xu.T @ su) / len(xu) - prior * (xp.T @ sp) / len(xp)
+        of_positive = -prior * (xp.T @ (1 - sp)) / len(xp)
+        clamped += negative < 0
+        g = (of_positive + of_negative if negative >= 0 else -of_negative) + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return dict(zip(names, w[:-1])), w[-1], clamped
+
+
+def test_toxicity_is_non_negative_pu_learning(spark):
+    rows, labels = toxic_docs(300)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    training = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    confirmed = [rows[i][1] for i in training if labels[i][2]]
+    weights, intercept, _ = brute_nnpu([rows[i][1] for i in training], confirmed, 0.2)
+    model = toxicity.fit(docs(spark, rows, clash=False), known, prior=0.2)
+    assert set(model.weights) == set(weights) and len(weights) >= 3
+    want = toxicity.Model(weights, intercept)
+    for _, text in rows:
+        assert model.score(text) == pytest.approx(want.score(text), abs=1e-6)
+
+
+def test_the_clamp_acts_and_keeps_unlabelled_text_apart():
+    """Few rows, many features: a plain corrected risk falls far below zero, the clamped one does not."""
+    rng = np.random.default_rng(11)
+    dense = np.concatenate((rng.normal(0.3, 1, (15, 300)), rng.normal(0, 1, (40, 300))))
+    y = np.arange(55) < 15
+    x = toxicity.Sparse(np.tile(np.arange(300), 55), dense.ravel(), np.full(55, 300), 300)
+    w, clamped = toxicity.nnpu(x, y, 0.4, steps=400)
+
+    def negative(w):
+        z = dense @ w[:-1] + w[-1]
+        return np.logaddexp(0, z[~y]).mean() - 0.4 * np.logaddexp(0, z[y]).mean()
+
+    plain = np.zeros(301)
+    for _ in range(4000):
+        s = 1 / (1 + np.exp(-(dense @ plain[:-1] + plain[-1])))
+        r = np.where(y, -0.4 / 15, s / 40)
+        plain -= 0.5 * np.append(dense.T @ r, r.sum())
+    assert clamped > 20 and negative(plain) < -1 and negative(w) > 0.1 * negative(plain)
+
+
 def test_a_repeated_id_does_not_outgrow_the_sample(spark):
     rows, labels = toxic_docs(300)
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -437,6 +513,28 @@ def test_only_its_own_end_tag_ends_a_script(script):
     assert texts_of(f"a<style>p<{{}}</style >b<script>{script}") == ["ab"]
 
 
+def test_only_the_own_end_tag_ends_what_holds_no_markup():
+    assert texts_of("A<script src=a.js/>var x=1;</script>B<style/>p{}</style>C") == ["ABC"]
+    assert texts_of("<p>a<span/>b<svg/>c<svg><path/>hidden</svg>d") == ["abcd"]
+
+
+def test_a_head_ends_where_something_else_begins():
+    assert texts_of("<head><meta><p>early</p><p>text") == ["early", "text"]
+    assert texts_of("<html><head><title>T</title>\n<script>x()</script> bare text<div>more") == ["bare text", "more"]
+    assert texts_of("<head><title>T</title></head><body>b") == ["b"]
+
+
+@pytest.mark.parametrize("page, n", [
+    ("<a " * 300_000, 1), ("<a '" * 250_000, 1), ('<a "> text " ' * 60_000, 1), ("<b>" * 60_000 + "</i>" * 60_000, 0),
+    ("<div>" * 60_000 + "x", 1), ("<p><button>" + "<div>x" * 40_000, 40_000), ("<!-- " * 200_000, 0), ("<i>x" * 60_000, 1),
+])
+def test_broken_pages_take_linear_time(page, n):
+    started = time.process_time()
+    found = blocks(page, Path(None, "", ()))
+    assert len(found) == n and time.process_time() - started < 5
+    assert len(html_crf.model().labels(found)) == n
+
+
 def test_a_leading_break_leaves_the_path_right():
     page = "<nav><ul><li><a href=x>A</a></li></ul></nav><article><br>First<br>line</article><div class=ad> <br/> <b><br>Buy</b></div> <br>end"
     found = blocks(page, Path(None, "", ()))
