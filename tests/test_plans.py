@@ -77,8 +77,8 @@ def test_copies_alone_are_aggregated_whole(p):
     from tenderwatch.operators.scale import first_per_key
 
     order = ["fecha_adjudicacion", "id", "nit_entidad", "valor_total_adjudicacion"]
-    some = p.arriving.select("id_del_proceso", *order, "entidad").where("id % 50 = 0")
-    few = some.unionByName(some.where("id % 100 = 0"))
+    some = p.arriving.select("id_del_proceso", *order, "entidad").where("id % 10 = 1")
+    few = some.unionByName(some.where("id % 70 = 1"))
     found = first_per_key(few, "id_del_proceso", order)
     final = plan(found, "simple").split("== Initial Plan ==")[0]
     assert "LeftAnti" in final and "LeftSemi" in final and "BroadcastHashJoin" in final
