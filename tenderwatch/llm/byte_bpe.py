@@ -3,7 +3,8 @@
 First tier: a minimal perfect hash over the vocabulary answers, with one probe, whether a whole
 pre-token is an entry. Second tier: other pre-tokens are merged by a heap of adjacent pairs over
 doubly linked bytes, so a merge costs a logarithm and not a pass. Chunks of text between single
-blanks split the same way alone as in their text; each worker remembers the result of short ones.
+blanks split the same way alone as in their text; each worker remembers the result of short ones, and
+that of the pre-tokens in them, since a word is followed by many different signs.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 
 from tenderwatch.llm.common import Batches, in_python
 
-#: chunks remembered by one Python worker in each of two generations, about 300 bytes each
-MEMO_CHUNKS = 450_000
-#: longer chunks are encoded each time
+#: chunks, and pre-tokens of chunks that hold several, remembered by one Python worker in each of two
+#: generations, about 300 bytes each
+MEMO_CHUNKS = 350_000
+MEMO_PIECES = 200_000
+#: longer ones are encoded each time
 MEMO_CHARS = 48
 
 
@@ -121,8 +124,11 @@ class ByteBpe:
         }
         self._pattern = regex.compile(pattern)
         self._ragged = regex.compile(r"\s\x20|\x20\s|^\x20|\x20$")
+        self._decimal = {r: str(r) for r in self.ranks}
         self._memo: dict[str, tuple[str, int, bytes]] = {}
         self._older: dict[str, tuple[str, int, bytes]] = {}
+        self._pieces: dict[str, tuple[str, int, bytes]] = {}
+        self._older_pieces: dict[str, tuple[str, int, bytes]] = {}
 
     def rank(self, piece: bytes) -> int:
         at = self._hash.get(piece)
@@ -135,35 +141,41 @@ class ByteBpe:
 
     def _merge(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of least rank, leftmost first, until no pair is an entry."""
-        ids = [self._single[b] for b in piece]
-        n, pair = len(ids), self._pairs.get
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        single, pair = self._single, self._pairs.get
+        ids = [single[b] for b in piece]
+        n = len(ids)
         shift = n.bit_length()
         mask = (1 << shift) - 1
+        #: rank of the pair that begins at a part, -1 without one
+        wanted = [pair(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        wanted.append(-1)
         # An entry is a rank and a place in one number, so the heap orders by rank, then from the left.
-        heap = [
-            rank << shift | at
-            for at, (a, b) in enumerate(zip(ids, ids[1:]))
-            if (rank := pair(a << 32 | b, -1)) >= 0
-        ]
+        heap = [rank << shift | at for at, rank in enumerate(wanted) if rank >= 0]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             entry = pop(heap)
             at, rank = entry & mask, entry >> shift
-            gone = after[at]
-            if gone < 0 or pair(ids[at] << 32 | ids[gone], -1) != rank:
+            if wanted[at] != rank:
                 continue  # one of its two parts has been merged since
-            ids[at], ids[gone] = rank, -1
+            gone = after[at]
+            ids[at], ids[gone], wanted[gone] = rank, -1, -1
             then = after[at] = after[gone]
-            after[gone] = -1
             if then >= 0:
                 before[then] = at
-                if (new := pair(rank << 32 | ids[then], -1)) >= 0:
+                new = wanted[at] = pair(rank << 32 | ids[then], -1)
+                if new >= 0:
                     push(heap, new << shift | at)
+            else:
+                wanted[at] = -1
             back = before[at]
-            if back >= 0 and (new := pair(ids[back] << 32 | rank, -1)) >= 0:
-                push(heap, new << shift | back)
+            if back >= 0:
+                new = wanted[back] = pair(ids[back] << 32 | rank, -1)
+                if new >= 0:
+                    push(heap, new << shift | back)
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> list[int]:
@@ -186,23 +198,42 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _encoded(self, piece: str) -> tuple[str, int, bytes]:
+        """Decimal ids, their number and the decoded bytes of one pre-token."""
+        ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        return " ".join([self._decimal[i] for i in ids]), len(ids), self.decode(ids)
+
+    def _piece(self, piece: str) -> tuple[str, int, bytes]:
+        """A pre-token of a chunk that holds several."""
+        done = self._pieces.get(piece)
+        if done is None:
+            done = self._older_pieces.get(piece) or self._memo.get(piece) or self._encoded(piece)
+            if len(piece) <= MEMO_CHARS:
+                if len(self._pieces) >= MEMO_PIECES:
+                    self._older_pieces, self._pieces = self._pieces, {}
+                self._pieces[piece] = done
+        return done
+
     def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
         """A chunk that the young generation of the memo lacks."""
         done = self._older.get(chunk)
         if done is None:
-            ids = self.encode(chunk)
-            done = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            pieces = self._pattern.findall(chunk)
+            if len(pieces) == 1:
+                done = self._pieces.get(chunk) or self._encoded(chunk)
+            else:
+                ids, counts, data = zip(*map(self._piece, pieces))
+                done = (" ".join(ids), sum(counts), b"".join(data))
         if len(chunk) <= MEMO_CHARS:
             if len(self._memo) >= MEMO_CHUNKS:
-                self._older = self._memo.copy()
-                self._memo.clear()
+                self._older, self._memo = self._memo, {}
             self._memo[chunk] = done
         return done
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the decimal ids and of the decoded bytes."""
-        memo = self._memo
-        done = [memo.get(c) or self._chunk(c) for c in self.chunks(text or "")]
+        memo, new = self._memo, self._chunk
+        done = [memo.get(c) or new(c) for c in self.chunks(text or "")]
         ids, counts, data = zip(*done) if done else ((), (), ())
         decoded = hashlib.sha256(b"".join(data)).hexdigest()
         return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), decoded
