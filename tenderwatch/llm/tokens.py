@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 
+if TYPE_CHECKING:
+    from tokenizers import Encoding
+
 #: chunks remembered by one Python worker in each of two generations, about 200 bytes each
 MEMO_CHUNKS = 400_000
 #: longer chunks are encoded each time
 MEMO_CHARS = 48
-#: a special token of the file, and how many chunks it holds apart in one call
-MARK = "<|startoftext|>"
-_TOGETHER = 4096
+#: a digit is never merged with anything: it holds the chunks of one call apart, and how many
+_DIGIT = "0"
+_TOGETHER = 8192
 #: signs that may follow a word; never part of it
 _STOPS = ".,;:!?#%*$&|"
 #: id written after every document
@@ -34,7 +38,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._mark = self._tokenizer.token_to_id(MARK)
+        self._digit = self._tokenizer.encode(_DIGIT, add_special_tokens=False).ids
         self._memo: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
 
@@ -62,10 +66,11 @@ class ChunkEncoder:
         """
         if "<|" in text:
             return text
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
         return text.lower()
 
     def _learn(self, chunks: set[str]) -> None:
@@ -89,19 +94,25 @@ class ChunkEncoder:
         for c, stem in parted:
             memo[c] = memo[stem] + memo[c[len(stem) :]]
 
-    def _encoded(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """One call for many chunks, set apart by a mark that the tokenizer never merges across."""
-        plain = [c for c in chunks if MARK not in c]
-        found = {c: self._ids(c) for c in chunks if MARK in c}
+    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
+        """One call for many chunks, set apart by a digit between line feeds; those that hold it go alone."""
+        alone = [c for c in chunks if _DIGIT in c] if len(self._digit) == 1 else list(chunks)
+        found = dict(zip(alone, map(self._bytes, self._tokenizer.encode_batch_fast(alone, add_special_tokens=False))))
+        plain = list(chunks.difference(alone))
         for at in range(0, len(plain), _TOGETHER):
             some = plain[at : at + _TOGETHER]
-            ids = np.frombuffer(self._ids(MARK.join(some)), "<u4")
-            ends = np.concatenate(([-1], np.flatnonzero(ids == self._mark), [len(ids)]))
-            found |= {c: ids[a + 1 : b].tobytes() for c, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist())}
+            joined = f"\n{_DIGIT}\n".join(some)
+            data = self._bytes(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0])
+            ends = 4 * np.flatnonzero(np.frombuffer(data, "<u4") == self._digit[0])
+            start = 0
+            for c, end in zip(some, [*ends.tolist(), len(data)], strict=True):
+                found[c] = data[start:end]
+                start = end + 4
         return found
 
-    def _ids(self, text: str) -> bytes:
-        return array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+    @staticmethod
+    def _bytes(encoding: Encoding) -> bytes:
+        return array("I", encoding.ids).tobytes()
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
