@@ -34,6 +34,10 @@ LEAF = 48
 #: room for rounding in bounds, which are in single precision; results never depend on it
 SLACK = 1e-3
 _STRIP = 256
+#: pairs whose cosines are taken at a time
+_PAIRS = 1 << 15
+#: cosines this near the wanted one are computed again from the vectors as they are
+_UNSURE = 1e-12
 #: radii between which nodes are compared together
 _RADII = (0.01, 0.1, 0.25, 0.5)
 
@@ -205,18 +209,32 @@ class Walk:
             leaves &= p != q
         self._count_whole(p[inside], q[inside])
         yield from zip(p[~inside & ~leaves].tolist(), q[~inside & ~leaves].tolist())
-        # The leaves that meet one node are compared with it together, from the side of fewer nodes.
-        p, q = p[leaves], q[leaves]
-        turned = len(np.unique(q)) < len(np.unique(p))
-        one, many = (q, p) if turned else (p, q)
-        tree, others = (b, a) if turned else (a, b)
-        by = np.argsort(one, kind="stable")
-        groups = np.split(many[by], np.flatnonzero(np.diff(one[by])) + 1) if len(one) else []
-        for x, met in zip(np.unique(one).tolist(), groups):
-            sizes = others.end[met] - others.start[met]
-            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows, columns = np.arange(tree.start[x], tree.end[x]), np.repeat(others.start[met], sizes) + inner
-            self._compare(*((columns, rows) if turned else (rows, columns)))
+        if leaves.any():
+            self._compare_leaves(p[leaves], q[leaves])
+
+    @staticmethod
+    def _inner(tree: Tree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of some nodes, and which of the nodes each belongs to."""
+        sizes = tree.end[nodes] - tree.start[nodes]
+        of = np.repeat(np.arange(len(nodes)), sizes)
+        return np.arange(sizes.sum()) + (tree.start[nodes] - np.cumsum(sizes) + sizes)[of], of
+
+    def _compare_leaves(self, p: np.ndarray, q: np.ndarray) -> None:
+        """The vectors of pairs of leaves: in single precision together, then the near ones in double."""
+        (ps, at_p), (qs, at_q) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+        paired = np.zeros((len(ps), len(qs)), bool)
+        paired[at_p, at_q] = True
+        (rows, of), (columns, to) = self._inner(self.a, ps), self._inner(self.b, qs)
+        least = self.cosine - 1e-4 - 2e-7 * self.a.unit.shape[1]
+        others = self.small[1][columns]
+        for at in range(0, len(rows), _STRIP):
+            strip = rows[at : at + _STRIP]
+            i, j = np.nonzero(self.small[0][strip] @ others.T >= least)
+            met = paired[of[at + i], to[j]]
+            i, j = strip[i[met]], columns[j[met]]
+            for some in range(0, len(i), _PAIRS):
+                x, y = i[some : some + _PAIRS], j[some : some + _PAIRS]
+                self._settle(x, y, np.einsum("ij,ij->i", self.a.unit[x], self.b.unit[y]))
 
     def _count_whole(self, p: np.ndarray, q: np.ndarray) -> None:
         """All vectors of each ``p`` link with all of its ``q``."""
@@ -248,18 +266,21 @@ class Walk:
 
     def _compare(self, rows: np.ndarray, columns: np.ndarray, own: bool = False) -> None:
         """Cosines of two sets of vectors in double precision."""
+        near = self.a.unit[rows] @ self.b.unit[columns].T
+        close = near >= self.cosine - _UNSURE
+        i, j = np.nonzero(np.triu(close, 1) if own else close)
+        self._settle(rows[i], columns[j], near[i, j])
+
+    def _settle(self, i: np.ndarray, j: np.ndarray, near: np.ndarray) -> None:
+        """Link the pairs of vectors whose cosines, nearly ``near``, are large enough."""
         a, b = self.a, self.b
-        near = a.unit[rows] @ b.unit[columns].T
         linked = near >= self.cosine
-        for i, j in zip(*np.nonzero(np.abs(near - self.cosine) < 1e-12)):
+        for at in np.flatnonzero(np.abs(near - self.cosine) < _UNSURE):
             # by a power of two, which changes no digit and lets no product overflow
-            u, v = (np.ldexp(x, -np.frexp(np.abs(x).max())[1]) for x in (a.raw[rows[i]].astype(np.float64), b.raw[columns[j]].astype(np.float64)))
-            linked[i, j] = np.dot(u, v) / (np.sqrt(np.dot(u, u)) * np.sqrt(np.dot(v, v))) >= self.cosine
-        if own:
-            linked = np.triu(linked, 1)
-        i, j = np.nonzero(linked)
+            u, v = (np.ldexp(x, -np.frexp(np.abs(x).max())[1]) for x in (a.raw[i[at]].astype(np.float64), b.raw[j[at]].astype(np.float64)))
+            linked[at] = np.dot(u, v) / (np.sqrt(np.dot(u, u)) * np.sqrt(np.dot(v, v))) >= self.cosine
+        i, j = i[linked], j[linked]
         if len(i):
-            i, j = rows[i], columns[j]
             np.add.at(self.counts[0], i, b.weights[j])
             np.add.at(self.counts[0] if self.same else self.counts[1], j, a.weights[i])
             self._link(a.ids[i], b.ids[j])
