@@ -137,6 +137,11 @@ def upsert_actions(contracts: DataFrame, stored: DataFrame, force: bool) -> Data
     return joined.select(*[F.col(c) for c in contracts.columns], action.alias("action"))
 
 
+def decide(contracts: DataFrame, stored: DataFrame) -> DataFrame:
+    """``raw_id, action`` of a forced run: the wide columns of either side go into no join."""
+    return upsert_actions(contracts.select("raw_id", *_STATE), stored, True).select("raw_id", "action")
+
+
 def upsert_merge(actions: DataFrame, stored: DataFrame) -> DataFrame:
     """The contract table after the upsert: untouched rows and new or changed ones."""
     changed = actions.where("action <> 'skip'").drop("action")

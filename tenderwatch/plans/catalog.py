@@ -30,9 +30,10 @@ from tenderwatch.operators.search import ContractFilter, paginate
 from tenderwatch.plans.pipeline import NEW_RUN, NEW_TIME, Pipeline, pipeline
 from tenderwatch.sources import testdata
 from tenderwatch.sources.key_index import KeyIndex
+from tenderwatch.sources.part_store import PartStore
 from tenderwatch.sources.readers import scan_notices
 from tenderwatch.sources.sinks import export_csv
-from tenderwatch.sources.storage import scratch_path
+from tenderwatch.sources.storage import scratch_path, settle
 from tenderwatch.streaming.ingest import add_batch, stored_notices, stream_ingest
 
 Query = Callable[[Pipeline], DataFrame]
@@ -985,6 +986,18 @@ def upsert_merge(p: Pipeline) -> DataFrame:
     return merged.select("raw_id", "row_hash", "status", "base_price")
 
 
+@query
+def upsert_by_parts(p: Pipeline) -> DataFrame:
+    """The stored table after an upsert that rewrites only the parts it touches."""
+    store = PartStore(p.spark, scratch_path(p.spark, "contracts"), "raw_id", part_rows=2000)
+    stored = _stored_contracts(p)
+    store.write({"contracts": stored.select(*[F.col(f.name).cast(f.dataType) for f in p.contracts.schema])}, "first")
+    actions = normalise.decide(p.contracts, stored)
+    changed = settle(actions.where("action <> 'skip'").select("raw_id"), "changed")
+    store.write({"contracts": p.contracts.join(changed, "raw_id", "left_semi").select(*p.contracts.columns)}, "second", changed)
+    return store.read("contracts", p.contracts.schema).select("raw_id", "row_hash", "status", "base_price")
+
+
 # --- J: incremental ingest -------------------------------------------------------------------
 
 

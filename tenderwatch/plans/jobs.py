@@ -19,8 +19,8 @@ from tenderwatch import schemas as S
 from tenderwatch.operators import direct_awards, ingest, normalise, outliers, repeats, search, supplier_risk, syncs
 from tenderwatch.operators.runs import Results, append_run, read_results, resolve_run, rows_of_run
 from tenderwatch.sources.manifest import Manifest
+from tenderwatch.sources.part_store import PartStore
 from tenderwatch.sources.readers import scan_notices
-from tenderwatch.sources.sinks import RunStore
 from tenderwatch.sources.storage import scratch, settle
 from tenderwatch.streaming.ingest import add_batch, batches, rejects, stored_notices
 
@@ -63,7 +63,7 @@ class Monitor:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.store = RunStore(spark, f"{self.root}/contracts_store")
+        self.store = PartStore(spark, f"{self.root}/contracts_store", "raw_id")
 
     # --- tables -----------------------------------------------------------------------------
 
@@ -190,8 +190,8 @@ class Monitor:
         """Turn notices into contracts and issues.
 
         Without ``force`` only batches of notices that no earlier run has covered are read, and their
-        rows are appended. With it everything is normalised again and a new version replaces the
-        old one, keeping unchanged contracts and their issues.
+        rows are appended. With it everything is judged again; new and changed contracts and their
+        issues are written with the parts of the tables that held them, and all other parts stay.
         """
         started, run = _now(), str(uuid.uuid4())
         try:
@@ -214,45 +214,48 @@ class Monitor:
         """Batches whose notices are all in the current contracts."""
         return Manifest(self.spark, f"{self.root}/normalised_batches", "writer string, batch bigint, run string")
 
+    def _listed_batches(self) -> DataFrame:
+        return batches(self.spark, f"{self.root}/raw_notices").rows().select("writer", "batch")
+
+    def _uncovered(self, listed: DataFrame) -> DataFrame:
+        return listed.join(self._covered.rows(), ["writer", "batch"], "left_anti").select("writer", "batch")
+
     def new_notices(self) -> DataFrame:
-        """Notices of batches that no run has covered: a choice of folders, no join of notices.
+        """Notices of batches that no run has covered."""
+        return self._notices_of(self._uncovered(self._listed_batches()))
 
-        Where very many batches have come since the last run, Spark chooses the folders by a join.
+    def _notices_of(self, chosen: DataFrame) -> DataFrame:
+        """Notices of some batches: a choice of folders, no join of notices.
+
+        Where there are very many batches, Spark chooses the folders by a join.
         """
-        listed = batches(self.spark, f"{self.root}/raw_notices").rows().select("writer", "batch")
-        new = listed.join(self._covered.rows(), ["writer", "batch"], "left_anti")
-        names = [(r["writer"], r["batch"]) for r in new.limit(_NAMED_BATCHES + 1).collect()]
+        names = [(r["writer"], r["batch"]) for r in chosen.limit(_NAMED_BATCHES + 1).collect()]
         if not names:
             return self.raw_notices.limit(0)
         rows = self.spark.read.schema(self.raw_notices.schema).parquet(f"{self.root}/raw_notices")
         if len(names) > _NAMED_BATCHES:
-            return rows.join(settle(new, "new-batches"), ["writer", "batch"], "left_semi").select(*rows.columns)
+            return rows.join(settle(chosen, "chosen-batches"), ["writer", "batch"], "left_semi").select(*rows.columns)
         wanted = F.struct("writer", "batch").isin([F.struct(F.lit(w), F.lit(b).cast("bigint")) for w, b in names])
         return rows.where(F.col("writer").isin([w for w, _ in names]) & wanted)
 
     def _normalise(self, as_of: date | str, force: bool, run: str, started: datetime) -> Row:
-        done = batches(self.spark, f"{self.root}/raw_notices").rows().select("writer", "batch")
-        done = settle(done.withColumn("run", F.lit(run)), "covered")
-        notices = settle(self.raw_notices if force else self.new_notices(), "notices")
-        stamp = F.lit(started.replace(tzinfo=None)).cast("timestamp")
-        issues = settle(normalise.record_issues(notices, as_of).withColumn("created_at", stamp), "issues")
-        fresh = normalise.normalise_contracts(notices, as_of)
+        listed = settle(self._listed_batches(), "listed")  # batches that come later are for the next run
+        changed = None
         if force:
-            stored = self.contracts
-            actions = settle(normalise.upsert_actions(fresh, stored, True), "actions")
+            notices = self._notices_of(listed)
+            actions = settle(normalise.decide(normalise.normalise_contracts(notices, as_of), self.contracts), "actions")
+            changed = settle(actions.where("action <> 'skip'").select("raw_id"), "changed")
+            notices = settle(notices.join(changed.withColumnRenamed("raw_id", "id"), "id", "left_semi"), "notices")
         else:  # notices of new batches have no contract yet
-            actions = settle(fresh.withColumn("action", F.lit("insert")), "actions")
+            notices = settle(self._notices_of(self._uncovered(listed)), "notices")
+            actions = notices.select(F.col("id").alias("raw_id"), F.lit("insert").alias("action"))
+        stamp = F.lit(started.replace(tzinfo=None)).cast("timestamp")
+        issues = settle(normalise.record_issues(notices, as_of).withColumn("created_at", stamp), "issues")
         counts = normalise.normalise_counts(actions, issues).first()
         if counts["n_processed"]:
-            if force:
-                tables = {
-                    "contracts": normalise.upsert_merge(actions, stored),
-                    "issues": normalise.merge_issues(actions, issues, self.issues),
-                }
-            else:
-                tables = {"contracts": actions.drop("action"), "issues": issues}
-            self.store.write(tables, run, replace=force)
-        self._covered.rewrite(done)
+            tables = {"contracts": normalise.normalise_contracts(notices, as_of), "issues": issues}
+            self.store.write(tables, run, changed)
+        self._covered.rewrite(listed.withColumn("run", F.lit(run)))
         return counts
 
     # --- detectors --------------------------------------------------------------------------

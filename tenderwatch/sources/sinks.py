@@ -1,16 +1,9 @@
-"""CSV export, monthly layout and run-wise tables."""
+"""CSV export and monthly layout."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tenderwatch.sources.manifest import Manifest
-from tenderwatch.sources.storage import exists
-
 
 #: what spreadsheets tell UTF-8 by, at the start of every exported file
 BYTE_ORDER_MARK = "\ufeff"
@@ -48,44 +41,3 @@ def write_by_month(rows: DataFrame, path: str, column: str) -> None:
     month = F.date_format(column, "yyyy-MM").alias("published_month")
     balanced = rows.select("*", month).hint("rebalance", "published_month")
     balanced.write.mode("append").partitionBy("published_month").parquet(path)
-
-
-class RunStore:
-    """Tables written run by run and read through a list of complete runs.
-
-    A run is listed only after all its tables are written, so readers never see half a run
-    and a lost job leaves nothing behind but an unlisted folder. A run either adds rows to
-    the current version or starts a new version that replaces all earlier rows; older
-    versions stay readable.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.complete = Manifest(spark, f"{self.root}/complete", "version bigint, run string")
-
-    def current_version(self) -> int:
-        """0 before the first run."""
-        return self.complete.rows().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-
-    def read(self, table: str, schema: T.StructType, version: int | None = None) -> DataFrame:
-        """A table as of its current or a given version: the folders of its complete runs."""
-        wanted = version or self.current_version()
-        folder = f"{self.root}/{table}/version={wanted}"
-        if not wanted or not exists(self.spark, folder):
-            return self.spark.createDataFrame([], schema)
-        stored = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
-        listed = self.complete.rows().where(F.col("version") == wanted).select("run")
-        return self.spark.read.schema(stored).parquet(folder).join(listed, "run", "left_semi").select(*schema.fieldNames())
-
-    def _path(self, table: str, version: int, run: str) -> str:
-        return f"{self.root}/{table}/version={version}/run={run}"
-
-    def write(self, tables: Mapping[str, DataFrame], run: str, replace: bool) -> int:
-        """Write one run of all tables, then list it; returns its version."""
-        current = self.current_version()
-        version = current + 1 if replace or current == 0 else current
-        for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(self._path(name, version, run))
-        self.complete.put({"version": version, "run": run}, ["version", "run"])
-        return version

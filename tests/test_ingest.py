@@ -10,7 +10,7 @@ from tenderwatch import schemas as S
 from tenderwatch.operators import ingest, syncs
 from tenderwatch.sources.manifest import Manifest
 from tenderwatch.sources.readers import scan_notices
-from tenderwatch.sources.sinks import RunStore, export_csv, write_by_month
+from tenderwatch.sources.sinks import export_csv, write_by_month
 from tenderwatch.streaming.ingest import add_batch, rejects, stored_notices, stream_ingest
 
 
@@ -258,16 +258,3 @@ def test_every_exported_file_has_mark_and_header(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(want)
     export_csv(df.limit(0), str(tmp_path / "none"))
     assert [f.read_bytes() for f in (tmp_path / "none").glob("part-*")] == ['\ufeff"id";"name"\n'.encode()]
-
-
-def test_run_store(spark, tmp_path):
-    store, schema = RunStore(spark, str(tmp_path / "t")), spark.range(0).schema
-    assert store.current_version() == 0 and store.read("a", schema).count() == 0
-    assert store.write({"a": spark.range(3), "b": spark.range(1)}, "r1", replace=False) == 1
-    assert store.write({"a": spark.range(3, 5), "b": spark.range(0)}, "r2", replace=False) == 1
-    assert store.read("a", schema).count() == 5 and store.read("b", schema).count() == 1
-    assert store.write({"a": store.read("a", schema).where("id > 0"), "b": spark.range(0)}, "r3", replace=True) == 2
-    assert store.read("a", schema).count() == 4 and store.read("a", schema, 1).count() == 5
-    # a run that was never listed is invisible
-    spark.range(9).write.parquet(str(tmp_path / "t" / "a" / "version=2" / "run=lost"))
-    assert store.read("a", schema).count() == 4
