@@ -24,6 +24,8 @@ MEMO_CHARS = 48
 #: a digit is never merged with anything: it holds the chunks of one call apart, and how many
 _DIGIT = "0"
 _TOGETHER = 8192
+#: what the file's last token of every word ends with
+_WORD_END = "</w>"
 #: signs that may follow a word; never part of it
 _STOPS = ".,;:!?#%*$&|"
 #: id written after every document
@@ -39,6 +41,11 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._digit = self._tokenizer.encode(_DIGIT, add_special_tokens=False).ids
+        ids = self._tokenizer.get_vocab()
+        self._is_digit = np.zeros(max(ids.values()) + 1, bool)
+        self._is_digit[self._digit[:1]] = True
+        self._ends_word = np.zeros_like(self._is_digit)
+        self._ends_word[[i for token, i in ids.items() if token.endswith(_WORD_END)]] = True
         self._memo: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
 
@@ -76,38 +83,53 @@ class ChunkEncoder:
     def _learn(self, chunks: set[str]) -> None:
         """Remember chunks: a word and the stops after it are encoded apart, as the tokenizer does."""
         memo, older = self._memo, self._older
-        whole, parted = [], []
-        for c in chunks:
-            if (known := older.get(c)) is not None:
-                memo[c] = known
-                continue
-            stem = c.rstrip(_STOPS)
-            # the tokenizer lower-cases: a letter that becomes a letter and a mark goes with the stops
-            last = stem[-1:].lower()
-            if len(stem) < len(c) and len(last) == 1 and stem[-1].isalnum() and last.isalnum():
-                parted.append((c, stem))
-            else:
-                whole.append(c)
+        unknown = chunks.difference(older)
+        memo.update((c, older[c]) for c in chunks - unknown)
+        parted = []
+        for c in unknown:
+            if c[-1] in _STOPS:
+                stem = c.rstrip(_STOPS)
+                # the tokenizer lower-cases: a letter that becomes a letter and a mark goes with the stops
+                last = stem[-1:].lower()
+                if len(last) == 1 and stem[-1].isalnum() and last.isalnum():
+                    parted.append((c, stem))
+        whole = unknown.difference(c for c, _ in parted)
         stems = {x for c, stem in parted for x in (stem, c[len(stem) :])}
         memo.update((x, older[x]) for x in stems if x in older)
-        memo.update(self._encoded({*whole, *(x for x in stems if x not in memo)}))
+        memo.update(self._encoded(whole | stems.difference(memo)))
         for c, stem in parted:
             memo[c] = memo[stem] + memo[c[len(stem) :]]
 
     def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
-        """One call for many chunks, set apart by a digit between line feeds; those that hold it go alone."""
-        alone = [c for c in chunks if _DIGIT in c] if len(self._digit) == 1 else list(chunks)
-        found = dict(zip(alone, map(self._bytes, self._tokenizer.encode_batch_fast(alone, add_special_tokens=False))))
-        plain = list(chunks.difference(alone))
-        for at in range(0, len(plain), _TOGETHER):
-            some = plain[at : at + _TOGETHER]
-            joined = f"\n{_DIGIT}\n".join(some)
-            data = self._bytes(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0])
-            ends = 4 * np.flatnonzero(np.frombuffer(data, "<u4") == self._digit[0])
+        """One call for many chunks.
+
+        A word of small-alphabet letters ends in an id that ends words, and has no other such id: it is
+        set apart by a blank. The rest are set apart by a digit between line feeds; those that hold it
+        go alone.
+        """
+        words = [c for c in chunks if c.isalpha() and (c.isascii() or max(c) <= "\xff")]
+        found = self._apart(words, " ", self._ends_word, 0)
+        rest = chunks.difference(found)
+        alone = [c for c in rest if _DIGIT in c] if len(self._digit) == 1 else list(rest)
+        found.update(zip(alone, map(self._bytes, self._tokenizer.encode_batch_fast(alone, add_special_tokens=False))))
+        found.update(self._apart(list(rest.difference(alone)), f"\n{_DIGIT}\n", self._is_digit, 4))
+        return found
+
+    def _apart(self, chunks: list[str], between: str, parts: np.ndarray, skipped: int) -> dict[str, bytes]:
+        """Encode chunks with something between them; ``parts`` tells by id where a chunk ends.
+
+        ``skipped`` bytes there are of what stands between, else of the chunk itself.
+        """
+        found = {}
+        for at in range(0, len(chunks), _TOGETHER):
+            some = chunks[at : at + _TOGETHER]
+            data = self._bytes(self._tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0])
+            ends = 4 * np.flatnonzero(parts[np.frombuffer(data, "<u4")])
+            ends = [*ends.tolist(), len(data)] if skipped else (ends + 4).tolist()
             start = 0
-            for c, end in zip(some, [*ends.tolist(), len(data)], strict=True):
+            for c, end in zip(some, ends, strict=True):
                 found[c] = data[start:end]
-                start = end + 4
+                start = end + skipped
         return found
 
     @staticmethod
