@@ -83,8 +83,8 @@ class ChunkEncoder:
     def _learn(self, chunks: set[str]) -> None:
         """Remember chunks: a word and the stops after it are encoded apart, as the tokenizer does."""
         memo, older = self._memo, self._older
-        unknown = chunks.difference(older)
-        memo.update((c, older[c]) for c in chunks - unknown)
+        unknown = [c for c in chunks if c not in older]
+        memo.update((c, older[c]) for c in chunks if c in older)
         parted = []
         for c in unknown:
             if c[-1] in _STOPS:
@@ -93,7 +93,7 @@ class ChunkEncoder:
                 last = stem[-1:].lower()
                 if len(last) == 1 and stem[-1].isalnum() and last.isalnum():
                     parted.append((c, stem))
-        whole = unknown.difference(c for c, _ in parted)
+        whole = {*unknown}.difference(c for c, _ in parted)
         stems = {x for c, stem in parted for x in (stem, c[len(stem) :])}
         memo.update((x, older[x]) for x in stems if x in older)
         memo.update(self._encoded(whole | stems.difference(memo)))
