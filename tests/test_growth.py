@@ -8,8 +8,10 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tenderwatch.plans import catalog
+from tenderwatch.plans.pipeline import pipeline
 from tenderwatch.sources import testdata
-from tenderwatch.sources.storage import settle
+from tenderwatch.sources.storage import settle, shared_root
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -53,3 +55,15 @@ def test_copies_and_orphans_of_lines_are_as_before(spark, tmp_path):
 def test_stored_tables_are_packed(spark):
     stored = settle(spark.range(10), "packed")
     assert codecs(Path(urlparse(stored.inputFiles()[0]).path).parent) == {"ZSTD"}
+
+
+@pytest.mark.parametrize(("name", "label"), [("scan_notices_xml", "xml"), ("scan_notices_csv", "csv"), ("scan_notices_json_array", "arrays"), ("scan_notices_json", "json")])
+def test_landed_text_is_compressed_and_shared_out(spark, monkeypatch, name, label):
+    monkeypatch.setitem(catalog._LANDED_AS, "maxRecordsPerFile", 1000)
+    p = pipeline(spark, SF_DIR)
+    n = catalog._QUERIES[name](p).count()
+    assert n == p.raw.count()
+    newest = max(Path(shared_root(spark)).rglob(f"landed-{label}-*"), key=lambda f: f.stat().st_mtime)
+    files = [f for f in newest.rglob("part-*") if f.is_file()]
+    assert files and all(f.suffix == ".gz" for f in files)
+    assert label == "arrays" or len(files) >= n / 1000
