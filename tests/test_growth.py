@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tenderwatch.plans import catalog
 from tenderwatch.plans.pipeline import pipeline
 from tenderwatch.sources import testdata
+from tenderwatch.sources.key_index import KeyIndex
+from tenderwatch.sources.part_store import PartStore
 from tenderwatch.sources.storage import settle, shared_root
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -67,3 +69,32 @@ def test_landed_text_is_compressed_and_shared_out(spark, monkeypatch, name, labe
     files = [f for f in newest.rglob("part-*") if f.is_file()]
     assert files and all(f.suffix == ".gz" for f in files)
     assert label == "arrays" or len(files) >= n / 1000
+
+
+def test_small_parts_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Tasks follow the rows, parts their size; each part is a sorted stretch of the key."""
+    monkeypatch.setattr("tenderwatch.sources.part_store.TASK_ROWS", 1000)
+    store = PartStore(spark, str(tmp_path / "s"), "raw_id", part_rows=10)
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("raw_id"))
+    store.write({"t": rows}, "a")
+    parts = store.parts("t")
+    assert parts.agg(F.sum("n_rows"), F.max("n_rows")).first() == (5000, 10) and parts.count() < 520
+    files = [f.name for f in (tmp_path / "s" / "t").rglob("*.parquet")]
+    assert len({name.split("-")[1] for name in files}) <= 6
+    assert codecs(tmp_path / "s") >= {"ZSTD"} and codecs(tmp_path / "s" / "t") == {"ZSTD"}
+    for file in list((tmp_path / "s" / "t").rglob("*.parquet"))[:20]:
+        ids = pq.read_table(file, partitioning=None)["raw_id"].to_pylist()
+        assert ids == list(range(ids[0], ids[0] + len(ids)))
+
+
+def test_index_segments_are_packed(spark, tmp_path):
+    index = KeyIndex(spark, str(tmp_path / "k"), "k", bucket_keys=10)
+    index.add(spark.range(100).select(F.col("id").cast("string").alias("k")), "w", 0)
+    assert codecs(tmp_path / "k") == {"ZSTD"}
+
+
+def test_streamed_landings_and_stores_are_packed(spark):
+    before = set(Path(shared_root(spark)).rglob("landing-*"))
+    catalog._QUERIES["stream_ingest"](pipeline(spark, SF_DIR)).count()
+    landed = [f for d in set(Path(shared_root(spark)).rglob("landing-*")) - before for f in d.rglob("part-*")]
+    assert landed and all(f.suffix == ".gz" for f in landed)
