@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderwatch import schemas as S
+from tenderwatch.functions import normalise as N
 from tenderwatch.operators.runs import Results, rows_of_run
 
 
@@ -253,9 +254,13 @@ def contract_issues(contracts: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def modified_contracts(contracts: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Contracts whose content differs from an earlier snapshot."""
-    before = earlier.select("raw_id", F.col("row_hash").alias("old_hash"))
-    return contracts.join(before, "raw_id").where("row_hash <> old_hash").drop("old_hash")
+    """Contracts whose content differs from an earlier snapshot; hashes move packed."""
+    before = earlier.select("raw_id", N.pack_hash(F.col("row_hash")).alias("old_packed"))
+    now = contracts.withColumn("packed", N.pack_hash(F.col("row_hash"))).drop("row_hash")
+    columns = {c: F.col(c) for c in ["raw_id", *contracts.columns]} | {"row_hash": N.unpack_hash(F.col("packed"))}
+    # coalesced: Spark would filter either side by a hash that is not NULL and compute it once more
+    changed = now.join(before, "raw_id").where("coalesce(packed <> old_packed, false)")
+    return changed.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def high_risk_contracts(contracts: DataFrame, risk: DataFrame) -> DataFrame:
