@@ -8,8 +8,10 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tenderwatch.functions import normalise as N
+from tenderwatch.operators import normalise, search
 from tenderwatch.plans import catalog
-from tenderwatch.plans.pipeline import pipeline
+from tenderwatch.plans.pipeline import Pipeline, pipeline
 from tenderwatch.sources import testdata
 from tenderwatch.sources.key_index import KeyIndex
 from tenderwatch.sources.part_store import PartStore
@@ -98,3 +100,53 @@ def test_streamed_landings_and_stores_are_packed(spark):
     catalog._QUERIES["stream_ingest"](pipeline(spark, SF_DIR)).count()
     landed = [f for d in set(Path(shared_root(spark)).rglob("landing-*")) - before for f in d.rglob("part-*")]
     assert landed and all(f.suffix == ".gz" for f in landed)
+
+
+@pytest.mark.parametrize("name", ["record_issues_write", "modified_contracts", "upsert_contracts"])
+def test_joins_move_hashes_packed(spark, large, name):
+    df = catalog._QUERIES[name](pipeline(spark, SF_DIR))
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").splitlines()
+    moved = [text[n + 1] for n, line in enumerate(text) if "Exchange hashpartitioning(raw_id" in line]
+    assert sum("packed#" in line for line in moved) >= 2
+    assert not any(re.search(r"[\[ ](old_)?row_hash#\d+[,\]]|AS (old_)?row_hash#", line) for line in moved)
+    computed = [line for line in text if "Filter" in line and "sha2(" in line]
+    assert not computed  # no hash is computed once more to filter by it
+
+
+def test_packed_hashes_are_equal_where_hashes_are(spark):
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest[:62], digest + "\n", "\x00" * 33 + digest, "", "ñ", None, "x" * 32, "\x00" * 32]
+    rows = spark.createDataFrame(enumerate(texts), "i int, h string").withColumn("p", N.pack_hash(F.col("h")))
+    found = rows.select("h", "p", N.unpack_hash(F.col("p")).alias("back"), F.octet_length("p").alias("n")).collect()
+    assert all(r["back"] == r["h"] for r in found)
+    assert len({bytes(r["p"]) for r in found if r["p"] is not None}) == len(texts) - 1
+    assert [r["n"] for r in found][:2] == [32, 97]
+
+
+def test_odd_hashes_are_compared_as_before(spark):
+    """Hashes of another kind, in capitals or missing."""
+    digest = "0123456789abcdef" * 4
+
+    def rows(hashes):
+        return spark.createDataFrame(
+            [(i, i, h, 100, False, False) for i, h in enumerate(hashes)],
+            "id long, raw_id long, row_hash string, confidence int, is_incomplete boolean, is_suspicious boolean",
+        )
+    now, old = rows([digest, digest, "x", "x", None, digest, digest]), rows([digest, digest.upper(), "x", "y", "x", None])
+    changed = search.modified_contracts(now, old)
+    assert changed.columns == ["raw_id", "id", *now.columns[2:]]
+    assert {(r["raw_id"], r["row_hash"]) for r in changed.collect()} == {(1, digest), (3, "x")}
+    actions = normalise.upsert_actions(now, old, True)
+    assert actions.columns == [*now.columns, "action"]
+    found = [(r["row_hash"], r["action"]) for r in actions.orderBy("raw_id").collect()]
+    assert found == list(zip([digest, digest, "x", "x", None, digest, digest], ["skip", "update", "skip", "update", "update", "insert", "insert"]))
+
+
+def test_snapshot_is_not_stored_and_notices_lie_by_id(spark):
+    p = Pipeline(spark, SF_DIR)
+    before = set(Path(shared_root(spark)).rglob("earlier_contracts-*"))
+    assert p.earlier_contracts.count() == p.raw.count()
+    assert set(Path(shared_root(spark)).rglob("earlier_contracts-*")) == before
+    for file in p.raw.inputFiles():
+        ids = pq.read_table(urlparse(file).path, columns=["id"], partitioning=None)["id"].to_pylist()
+        assert ids == sorted(ids)
