@@ -8,11 +8,13 @@ indexes let a reader fetch the pages of one document or the metadata alone.
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,15 +26,22 @@ from tenderwatch.llm.tokens import END_ID, encoder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
-#: documents encoded at a time
-_DOCS = 256
+#: about the bytes of text encoded at a time: more repeat more words, fewer take less memory
+_STEP_BYTES = 8 << 20
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of documents whose texts are bounded; a longer text goes with its neighbours at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // _STEP_BYTES)) + 1
+    for a, b in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
 
 
 def _encode(path: str) -> Callable[[Batches], Batches]:
     def task(batches: Batches) -> Batches:
         for batch in batches:
-            for at in range(0, batch.num_rows, _DOCS):
-                part = batch.slice(at, _DOCS)
+            for part in _steps(batch):
                 end = np.array([END_ID], "<u4").tobytes()
                 encoded = [x + end for x in encoder(path).encode(part.column(1).to_pylist())]
                 lengths = np.array([len(x) // 4 for x in encoded], np.int64)

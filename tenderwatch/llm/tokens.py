@@ -7,17 +7,20 @@ Python worker, by the tokenizers library, and remembered up to a bound.
 
 from __future__ import annotations
 
+import itertools
 import os
 from array import array
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 if TYPE_CHECKING:
     from tokenizers import Encoding
 
-#: chunks remembered by one Python worker in each of two generations, about 200 bytes each
+#: words and stops remembered by one Python worker in each of two generations, about 200 bytes each
 MEMO_CHUNKS = 400_000
 #: longer chunks are encoded each time
 MEMO_CHARS = 48
@@ -51,19 +54,46 @@ class ChunkEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """NULL counts as empty."""
-        chunked = [self._folded(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*chunked).difference(self._memo)
+        if not texts:
+            return []
+        # Arrow cuts the texts, finds their different chunks and puts the ids together
+        chunked = pc.split_pattern(pa.array([self._folded(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = pc.dictionary_encode(chunked.flatten())
+        parts = self._parted(coded.dictionary)
+        words = [part.dictionary.to_pylist() for part in parts]
+        missing = set().union(*words).difference(self._memo)
         self._learn(missing)
-        out = [b"".join(map(self._memo.__getitem__, chunks)) for chunks in chunked]
+        known = [pa.array([*map(self._memo.__getitem__, w)], pa.large_binary()) for w in words]
+        known = [ids.take(part.indices) for ids, part in zip(known, parts)]
+        ids = pc.binary_join_element_wise(*known, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[chunked.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in itertools.pairwise(ends)]
         for chunk in missing:
             if len(chunk) > MEMO_CHARS:
-                # a chunk may already be gone, as the stem of another
-                self._memo.pop(chunk, None)
-                self._memo.pop(chunk.rstrip(_STOPS) or None, None)
+                del self._memo[chunk]
         if len(self._memo) > MEMO_CHUNKS:
             self._older, self._memo = self._memo, {"": b""}
         return out
 
+    @staticmethod
+    def _parted(chunks: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """A word and the stops after it: they are encoded apart, as the tokenizer does."""
+        stems = pc.utf8_rtrim(chunks, characters=_STOPS)
+        plain = pc.match_substring_regex(stems, r"[0-9A-Za-z]\z")
+        stopped = pc.not_equal(stems, chunks)
+        # the tokenizer lower-cases: a letter that becomes a letter and a mark goes with the stops
+        stopped = stopped.to_numpy(zero_copy_only=False).copy()
+        odd = np.flatnonzero(stopped & ~plain.to_numpy(zero_copy_only=False))
+        ends = [stem[-1:] for stem in stems.take(pa.array(odd)).to_pylist()]
+        stopped[odd] = [e.isalnum() and len(e.lower()) == 1 and e.lower().isalnum() for e in ends]
+        stopped = pa.array(stopped)
+        stops = pc.replace_substring_regex(chunks, rf"(?s)\A.*[^{_STOPS}]", "")
+        return (
+            pc.dictionary_encode(pc.if_else(stopped, stems, chunks)),
+            pc.dictionary_encode(pc.if_else(stopped, stops, pa.scalar("", pa.large_string()))),
+        )
+
     @staticmethod
     def _folded(text: str) -> str:
         """The tokenizer folds case; doing so before saves chunks.
@@ -81,24 +111,9 @@ class ChunkEncoder:
         return text.lower()
 
     def _learn(self, chunks: set[str]) -> None:
-        """Remember chunks: a word and the stops after it are encoded apart, as the tokenizer does."""
         memo, older = self._memo, self._older
-        unknown = [c for c in chunks if c not in older]
         memo.update((c, older[c]) for c in chunks if c in older)
-        parted = []
-        for c in unknown:
-            if c[-1] in _STOPS:
-                stem = c.rstrip(_STOPS)
-                # the tokenizer lower-cases: a letter that becomes a letter and a mark goes with the stops
-                last = stem[-1:].lower()
-                if len(last) == 1 and stem[-1].isalnum() and last.isalnum():
-                    parted.append((c, stem))
-        whole = {*unknown}.difference(c for c, _ in parted)
-        stems = {x for c, stem in parted for x in (stem, c[len(stem) :])}
-        memo.update((x, older[x]) for x in stems if x in older)
-        memo.update(self._encoded(whole | stems.difference(memo)))
-        for c, stem in parted:
-            memo[c] = memo[stem] + memo[c[len(stem) :]]
+        memo.update(self._encoded({c for c in chunks if c not in memo}))
 
     def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
         """One call for many chunks.

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -71,6 +72,25 @@ def test_a_long_chunk_and_the_same_with_a_stop(monkeypatch, dealt):
     assert max(map(len, e._memo)) <= tokens.MEMO_CHARS
 
 
+def test_words_are_remembered_without_their_stops():
+    """A word with other stops after it is no other word; an empty call and empty texts have no ids."""
+    e = ChunkEncoder(WORD_BPE)
+    want = Tokenizer.from_file(WORD_BPE).encode("tender, tender. tender!? (tender)", add_special_tokens=False).ids
+    assert e.encode(["tender, tender. tender!? (tender)"]) == [little(want)]
+    assert sorted(e._memo) == ["", "!?", "(tender)", ",", ".", "tender"]
+    assert e.encode([]) == [] and e.encode([None, "", " \n "]) == [b""] * 3
+
+
+def test_steps_of_documents_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "_STEP_BYTES", 10)
+    texts = ["x" * n for n in (4, 4, 4, 30, 0, 1)] + [None, "ééé"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    steps = [part.column(0).to_pylist() for part in token_files._steps(batch)]
+    assert sum(steps, []) == list(range(8))
+    assert all(sum(len((texts[i] or "").encode()) for i in part[1:]) < 10 for part in steps)
+    assert [len(part) for part in token_files._steps(batch.slice(0, 0))] == [0]
+
+
 def test_token_files(spark, tmp_path):
     rows = awkward_rows() + [(2000 + i, t) for i, t in enumerate(ODD)]
     path = str(tmp_path / "tokens")
