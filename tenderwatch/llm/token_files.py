@@ -27,7 +27,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
 #: about the bytes of text encoded at a time: more repeat more words, fewer take less memory
-_STEP_BYTES = 8 << 20
+_STEP_BYTES = 4 << 20
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
