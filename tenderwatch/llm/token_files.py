@@ -44,6 +44,8 @@ def _encode(path: str) -> Callable[[Batches], Batches]:
             for part in _steps(batch):
                 end = np.array([END_ID], "<u4").tobytes()
                 encoded = [x + end for x in encoder(path).encode(part.column(1).to_pylist())]
+                # else Arrow keeps what the stretch took, in every worker
+                pa.default_memory_pool().release_unused()
                 lengths = np.array([len(x) // 4 for x in encoded], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
                 values = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)

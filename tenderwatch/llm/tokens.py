@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 if TYPE_CHECKING:
     from tokenizers import Encoding
 
-#: words and stops remembered by one Python worker in each of two generations, about 200 bytes each
+#: words and stops remembered by one Python worker, about 200 bytes each; beyond it, those that came
+#: once are forgotten, which most do
 MEMO_CHUNKS = 400_000
 #: longer chunks are encoded each time
 MEMO_CHARS = 48
@@ -50,7 +51,8 @@ class ChunkEncoder:
         self._ends_word = np.zeros_like(self._is_digit)
         self._ends_word[[i for token, i in ids.items() if token.endswith(_WORD_END)]] = True
         self._memo: dict[str, bytes] = {"": b""}
-        self._older: dict[str, bytes] = {}
+        #: remembered ones that came again since some were last forgotten
+        self._again: set[str] = set()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """NULL counts as empty."""
@@ -58,24 +60,33 @@ class ChunkEncoder:
             return []
         # Arrow cuts the texts, finds their different chunks and puts the ids together
         chunked = pc.split_pattern(pa.array([self._folded(t or "").replace("\n", " ") for t in texts], pa.large_string()), " ")
-        coded = pc.dictionary_encode(chunked.flatten())
+        offsets, coded = chunked.offsets.to_numpy(), pc.dictionary_encode(chunked.flatten())
+        del chunked
         parts = self._parted(coded.dictionary)
         words = [part.dictionary.to_pylist() for part in parts]
-        missing = set().union(*words).difference(self._memo)
-        self._learn(missing)
+        wanted = set().union(*words)
+        missing = wanted.difference(self._memo)
+        self._again.update(wanted.difference(missing))
+        self._memo.update(self._encoded({*missing}))
         known = [pa.array([*map(self._memo.__getitem__, w)], pa.large_binary()) for w in words]
         known = [ids.take(part.indices) for ids, part in zip(known, parts)]
         ids = pc.binary_join_element_wise(*known, pa.scalar(b"", pa.large_binary())).take(coded.indices)
-        ends = np.frombuffer(ids.buffers()[1], np.int64)[chunked.offsets.to_numpy()].tolist()
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[offsets].tolist()
         data = memoryview(ids.buffers()[2] or b"")
         out = [bytes(data[a:b]) for a, b in itertools.pairwise(ends)]
         for chunk in missing:
             if len(chunk) > MEMO_CHARS:
                 del self._memo[chunk]
         if len(self._memo) > MEMO_CHUNKS:
-            self._older, self._memo = self._memo, {"": b""}
+            self._forget()
         return out
 
+    def _forget(self) -> None:
+        """Keep what came again, half the bound at most."""
+        kept = itertools.islice(self._again, MEMO_CHUNKS // 2)
+        self._memo = {"": b""} | {chunk: self._memo[chunk] for chunk in kept}
+        self._again = set()
+
     @staticmethod
     def _parted(chunks: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
         """A word and the stops after it: they are encoded apart, as the tokenizer does."""
@@ -110,11 +121,6 @@ class ChunkEncoder:
                 return text
         return text.lower()
 
-    def _learn(self, chunks: set[str]) -> None:
-        memo, older = self._memo, self._older
-        memo.update((c, older[c]) for c in chunks if c in older)
-        memo.update(self._encoded({c for c in chunks if c not in memo}))
-
     def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
         """One call for many chunks.
 

@@ -81,6 +81,22 @@ def test_words_are_remembered_without_their_stops():
     assert e.encode([]) == [] and e.encode([None, "", " \n "]) == [b""] * 3
 
 
+def test_remembered_words_are_bounded_and_those_that_come_again_stay(monkeypatch):
+    """One generation: nothing beside it holds words that came once."""
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 40)
+    e, t = ChunkEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    for i in range(12):
+        text = "tender award " + " ".join(f"once{chr(97 + i)}{chr(97 + k)}" for k in range(15))
+        assert e.encode([text, None]) == [little(t.encode(text, add_special_tokens=False).ids), b""]
+        assert {"tender", "award"} <= set(e._memo)
+        held = [x for x in vars(e).values() if isinstance(x, (dict, set))]
+        assert len(set().union(*held)) <= 40 + 1
+    again = " ".join(f"again{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100))
+    for _ in range(3):
+        assert e.encode([again]) == [little(t.encode(again, add_special_tokens=False).ids)]
+        assert len(e._memo) <= 40 // 2 + 1
+
+
 def test_steps_of_documents_are_bounded(monkeypatch):
     monkeypatch.setattr(token_files, "_STEP_BYTES", 10)
     texts = ["x" * n for n in (4, 4, 4, 30, 0, 1)] + [None, "ééé"]
