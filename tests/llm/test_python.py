@@ -255,6 +255,24 @@ def test_byte_bpe(spark):
     assert {r["doc_id"]: r["ids"] for r in some.collect()} == {1: e.encode_ordinary("don't 漢"), 2: []}
 
 
+def test_byte_bpe_looks_the_chunks_of_texts_up_together(monkeypatch):
+    """Words are remembered without stops and line ends; ragged texts and giant chunks come out alike."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(" \n\t\x85\u2003aé'st1.,:#ß漢😀") for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    texts += ["tender, award.\nTender tender! award", "a\n\nb c\n", "it's, it's. 'll.", "x" * 3000 + ". y", None, ""]
+    e, seen = bpe_reference(), []
+    bpe = byte_bpe.ByteBpe(BYTE_BPE, public_tokenizers.PATTERN)
+    whole = bpe._chunk
+    monkeypatch.setattr(bpe, "_chunk", lambda chunk: seen.append(chunk) or whole(chunk))
+    assert bpe.digests(["tender, award.\nTender tender! award"])[0][0] == len(e.encode_ordinary(texts[-6]))
+    assert not {" award.\nTender", " tender!"} & set(seen) and {"tender", " tender", " award", "\nTender"} <= set(seen)
+    for text, found in zip(texts, bpe.digests(texts), strict=True):
+        ids = e.encode_ordinary(text or "")
+        decimal, data = (hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), text or ""))
+        assert found == (len(ids), decimal, data) == bpe.digest(text)
+    assert bpe.digests([]) == []
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"key-{i}".encode() for i in range(2000)]
     h = byte_bpe.PerfectHash(keys)
