@@ -22,7 +22,7 @@ if TYPE_CHECKING:
 
 #: words and stops remembered by one Python worker, about 200 bytes each; beyond it, those that came
 #: once are forgotten, which most do
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 200_000
 #: longer chunks are encoded each time
 MEMO_CHARS = 48
 #: a digit is never merged with anything: it holds the chunks of one call apart, and how many
