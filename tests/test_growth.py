@@ -9,13 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderwatch.functions import normalise as N
-from tenderwatch.operators import normalise, search
+from tenderwatch.operators import ingest, normalise, search
+from tenderwatch.operators.scale import first_per_key
 from tenderwatch.plans import catalog
 from tenderwatch.plans.pipeline import Pipeline, pipeline
 from tenderwatch.sources import testdata
 from tenderwatch.sources.key_index import KeyIndex
 from tenderwatch.sources.part_store import PartStore
+from tenderwatch.sources.readers import scan_notices
 from tenderwatch.sources.storage import settle, shared_root
+from tenderwatch.streaming.ingest import _as_stored
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -152,6 +155,32 @@ def test_snapshot_is_not_stored_and_notices_lie_by_id(spark):
         assert ids == sorted(ids)
 
 
+def test_notices_of_a_batch_move_once(spark, large, tmp_path):
+    """Single notices and copies come out of one exchange, whatever is known of their keys."""
+    p = pipeline(spark, SF_DIR)
+    p.arriving.drop("fuente_id").write.json(str(tmp_path / "in"))
+    landed = settle(ingest.conform_schema(scan_notices(spark, str(tmp_path / "in"), "JSON"), 1))
+    stored = p.arriving.where("fecha_adjudicacion < '1998-01-01'").select("id_del_proceso")
+    found = _as_stored(ingest.insert_ignore(ingest.coerce_types(landed), stored, ["_arrival"]), 5)
+    rows = found.collect()
+    assert min(r["id"] for r in rows) >= 5 and all(r["sincronizado_en"] for r in rows)
+    text = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple").split("== Initial Plan ==")[0].splitlines()
+    dealt = [n for n, line in enumerate(text) if "Exchange hashpartitioning(id_del_proceso" in line]
+    wide = [n for n in dealt if "Reused" not in text[n] and "entidad#" in text[n + 1]]
+    assert len(wide) == 1 and any("ReusedExchange" in line for line in text)
+
+
+def test_keys_stored_or_repeated_are_found_together(spark):
+    """Copies among arriving and stored keys, keys without a value, and nothing to compare with."""
+    schema = "k string, at int, v string"
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z"), ("b", 0, "z"), ("c", 1, "w"), (None, 1, "n")], schema)
+    stored = spark.createDataFrame([("b", 0, ""), ("b", 1, ""), ("c", 0, ""), (None, 0, "")], schema)
+    found = sorted(map(tuple, first_per_key(rows, "k", ["at"], stored).collect()))
+    assert found == [("a", 1, "y")]
+    assert sorted(map(tuple, first_per_key(rows, "k", ["at"], stored.limit(0)).collect())) == [("a", 1, "y"), ("b", 0, "z"), ("c", 1, "w")]
+    assert ingest.insert_ignore(rows, stored, ["at"], "k").count() == 2
+
+
 def test_upsert_merge_computes_its_actions_once(spark, large):
     p = pipeline(spark, SF_DIR)
     df = catalog._QUERIES["upsert_merge"](p)
