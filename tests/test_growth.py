@@ -170,6 +170,15 @@ def test_notices_of_a_batch_move_once(spark, large, tmp_path):
     assert len(wide) == 1 and any("ReusedExchange" in line for line in text)
 
 
+def test_choosing_csv_columns_compiles(spark, tmp_path):
+    """A row's columns are taken in one loop over where they stand, not by a choice for each."""
+    (tmp_path / "a.csv").write_text("entidad,id_del_proceso,unknown\nA,p1,x\nB\n")
+    df = scan_notices(spark, str(tmp_path), "CSV")
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert "CASE WHEN" not in text
+    assert {(r["id_del_proceso"], r["entidad"], r["precio_base"]) for r in df.collect()} == {("p1", "A", None), (None, "B", None)}
+
+
 def test_keys_stored_or_repeated_are_found_together(spark):
     """Copies among arriving and stored keys, keys without a value, and nothing to compare with."""
     schema = "k string, at int, v string"
